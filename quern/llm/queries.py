@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import minhash, substring
+from quern.llm import minhash, mixing, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,34 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), n=4)
+
+
+@_query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query(
+    "op4_mix_sources",
+    r"""
+    WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    sources AS (
+        SELECT source, sum(size) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sized GROUP BY source),
+    total AS (SELECT sum(n) AS t FROM sources),
+    -- sources in the order in which their targets are reached; the first whose share holds for all later ones ends the capping
+    filled AS (
+        SELECT *, t - coalesce(sum(3 * n) OVER before, 0) AS left_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight
+        FROM sources, total WINDOW before AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (SELECT left_ / weight AS l FROM filled WHERE left_ * w / weight <= 3 * n ORDER BY n / w, source NULLS LAST LIMIT 1),
+    targets AS (SELECT source, n, least(CAST((SELECT l FROM level) * w AS DOUBLE), CAST(3 * n AS DOUBLE)) AS target FROM sources),
+    laid AS (
+        SELECT doc_id, size, n, target, CAST(floor(target) AS BIGINT) AS words,
+            coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM sized JOIN targets USING (source))
+    SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
+        CAST(CASE WHEN size = 0 THEN 0 ELSE (words // n) * size + greatest(0, least(start + size, words % n) - start) END AS BIGINT) AS taken
+    FROM laid
+    """,
+)
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import minhash, mixing, quality, substring
+from quern.llm import minhash, mixing, pieces, quality, substring
+
+#: The SentencePiece model of op9 and of the pipeline's last stage, read on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +96,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op9_sentencepiece_nbest")
+def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import minhash, mixing, pieces, quality, substring
+from quern.llm import minhash, mixing, pieces, quality, substring, topk
 
 #: The SentencePiece model of op9 and of the pipeline's last stage, read on the driver.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -101,3 +101,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_sentencepiece_nbest")
 def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_read(spark, sf_dir, "documents"), pieces.load(PIECE_MODEL))
+
+
+@_query(
+    "op8_exact_topk",
+    r"""
+    WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+    scores AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scores)
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM placed WHERE place <= 10
+    """,
+)
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_nth(_read(spark, sf_dir, "embeddings"))

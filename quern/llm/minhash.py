@@ -5,11 +5,11 @@ element offers j plus a uniform number to its j-th place, and each place keeps t
 place holds less than the next step could offer, so large sets need one step. All elements of a batch take a step at once
 here; the least offers don't depend on the order, so this gives the sequential algorithm's signature exactly.
 
-Documents that agree in all rows of a band meet in that band's bucket. A bucket never lists all its pairs: each member is
-first compared with the bucket's first document. What these links leave apart inside a bucket is then compared by
-signature (members outside the bucket's largest group against all), and each likely pair is verified. So every pair that
-meets in a bucket is either in one group already or verified, and none is dropped. Verification counts common shingles on
-the full sets of 64-bit hashes. Documents with equal word sequences share one class, and only classes are compared.
+Documents that agree in all rows of a band meet in that band's bucket. A bucket never lists its pairs: each member is
+first compared with the bucket's first document. Groups that these links leave apart though they share a bucket are then
+compared member by member, in blocks, by exact counts. So whatever meets in a bucket is in one group or was counted, and no link
+between groups is missed. All counts are on the full sets of 64-bit hashes. Documents with equal word sequences share
+one class, and only classes are compared.
 
 With 24 bands of 4 rows a pair of similarity 0.8 misses all buckets with probability 3e-6.
 
@@ -20,7 +20,6 @@ and such rows count as one document; rows that share a doc_id are one document.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,9 @@ from quern.llm.common import LAST, batches_of_bytes, connected_components, encod
 BANDS, ROWS = 24, 4
 #: A pair of less estimated similarity than the threshold by this much isn't verified: five standard deviations at 0.8.
 SLACK = 0.2
-#: Members of a bucket, and partners of one document, that one task takes; more are dealt over several.
-BUCKET = 20_000
+#: Partners of one document, and sets of a cluster, that one task takes; more are dealt over several.
+PARTNERS = 20_000
+BLOCK = 2000
 
 _SIGNED = "key long, class binary, n_shingles long, bands array<long>, signature binary"
 
@@ -160,46 +160,59 @@ def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("common", pa.int64()), ("total", pa.int64())]))
 
 
-def _cross_pairs(least: float):
-    """Likely pairs of members with different labels. Rows: bucket, sub, node, label, minor, signature; minor rows are
-    outside the bucket's largest group."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_out: list[np.ndarray] = []
-        b_out: list[np.ndarray] = []
-        held = 0
-        for group in runs(batches, ["bucket", "sub"]):
-            node, label = np.asarray(group.column("node")), np.asarray(group.column("label"))
-            signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-            minor = np.flatnonzero(np.asarray(group.column("minor")))
-            block = max(1, (16 << 20) // signature.size)
-            for i in range(0, len(minor), block):
-                rows = minor[i : i + block]
-                near = (signature[rows, None, :] == signature[None, :, :]).mean(axis=2) >= least
-                near &= label[rows, None] != label[None, :]
-                x, y = np.nonzero(near)
-                x = rows[x]
-                a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-                pair = np.unique(np.stack((a, b), axis=1), axis=0)
-                a_out.append(pair[:, 0])
-                b_out.append(pair[:, 1])
-                held += len(pair)
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-                a_out, b_out, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-
-    return pairs
+def _cross_links(similarity: int):
+    """Links between members of different labels. Rows: cluster, turn, block, probe, node, label, shingles. The probes of a
+    group meet its other rows through an inverted index of these rows' shingles, which counts common shingles exactly at a
+    cost of the overlap that there is. One link a probe and label is enough to join them."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in runs(batches, ["cluster", "turn", "block"]):
+            node, label, probe = (np.asarray(group.column(c)) for c in ("node", "label", "probe"))
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            others = np.flatnonzero(~probe)
+            if not len(others):
+                continue
+            size = np.array([len(sets[i]) for i in others])
+            owner = np.repeat(np.arange(len(others)), size)
+            value = np.concatenate([sets[i] for i in others])
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            for p in np.flatnonzero(probe):
+                lo, hi = np.searchsorted(value, sets[p], "left"), np.searchsorted(value, sets[p], "right")
+                counts = hi - lo
+                at = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                common = np.bincount(owner[at], minlength=len(others))
+                near = (100 * common >= similarity * (size + len(sets[p]) - common)) & (label[others] != label[p])
+                joined: set[int] = set()
+                for y in others[near].tolist():
+                    if label[y] not in joined:
+                        joined.add(label[y])
+                        out.append((min(node[p], node[y]), max(node[p], node[y])))
+            if len(out) > 50_000:
+                yield _pairs(out)
+                out = []
+        if out:
+            yield _pairs(out)
+
+    return links
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """node, shingles of the ids (one column key, distinct), written once."""
+    texts = narrow(docs, "key", ids).join(narrow(nodes.select("key", "class"), "key", ids), "key")
+    return materialize(texts.select("key", "text", "class").mapInArrow(_setter(n), "node long, shingles binary").distinct())
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
     """Those pairs (a < b, distinct) with 100 * common >= similarity * union, on the full sets of shingles."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    ends = materialize(ends)
-    texts = narrow(docs, "key", ends).join(narrow(nodes.select("key", "class"), "key", ends), "key")
-    sets = materialize(texts.select("key", "text", "class").mapInArrow(_setter(n), "node long, shingles binary").distinct())
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("subs"))
+    sets = _sets(materialize(ends), nodes, docs, n)
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("subs"))
     dealt = pairs.join(hubs, "a").withColumn("sub", F.pmod(F.xxhash64("b"), "subs").cast("int"))
     second = dealt.select("a", "b", "sub").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     first = hubs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
@@ -207,39 +220,53 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, simil
     return counted.where(F.expr(f"100 * c.common >= {similarity} * (c.total - c.common)")).select("a", "b")
 
 
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
+    """Links between groups that meet in a bucket, enough to join those groups that any link joins.
+
+    Groups that share buckets form a cluster. Its members outside its largest group are probes, compared with all its
+    members; both are dealt in blocks, so a task holds at most about two blocks of sets, whatever the cluster's size."""
+    spark = members.sparkSession
+    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket", "least")
+    meet = labelled.join(mixed, "bucket").where("label > least").select(F.col("least").alias("a"), F.col("label").alias("b")).distinct()
+    clusters = materialize(connected_components(meet).select(F.col("node").alias("label"), F.col("component").alias("cluster")))
+    inside = materialize(labelled.select("node", "label").distinct().join(clusters, "label"))
+    groups = inside.groupBy("cluster", "label").agg(F.count("*").alias("size"))
+    largest = groups.groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("size"))
+    blocks = largest.select("cluster", F.col("top.label").alias("largest"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.size")) / BLOCK).cast("int").alias("turns"))
+    rows = inside.join(blocks, "cluster").withColumn("hash", F.xxhash64("node"))
+    place = lambda of: F.pmod("hash", of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    targets = rows.select("cluster", every("turns").alias("turn"), place("blocks").alias("block"), F.lit(False).alias("probe"), "node", "label")
+    probes = rows.where("label != largest").select("cluster", place("turns").alias("turn"), every("blocks").alias("block"), F.lit(True).alias("probe"), "node", "label")
+    sets = _sets(inside.select(F.col("node").alias("key")).distinct(), nodes, docs, n)
+    dealt = targets.unionByName(probes).join(sets, "node")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["cluster", "turn", "block"]
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_cross_links(similarity), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); similarity in hundredths.
 
     component_id is the smallest doc_id reachable over links; kept marks the document that bears it."""
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text")
     signed = materialize(docs.mapInArrow(_signer(n, bands, rows), _SIGNED))
     firsts = materialize(signed.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("node")))
-    nodes = signed.join(firsts, (signed["class"] == firsts["class"]) & (F.col("key") == F.col("node"))).select("key", signed["class"], "bands", "signature")
+    nodes = signed.join(firsts, (signed["class"] == firsts["class"]) & (F.col("key") == F.col("node"))).select("key", signed["class"], "bands", "signature", "n_shingles")
     nodes = materialize(nodes.dropDuplicates(["key", "class"]))
     dealt = nodes.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "first")
     members = materialize(dealt.join(shared, "bucket").select("bucket", "node", "first"))
-    signatures = nodes.select("key", "signature")
+    signatures = nodes.select("key", "signature", "n_shingles")
     least = similarity / 100 - SLACK
 
     star = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = star.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-    near = near.where(F.arrow_udf(_agreement, "double")("sa", "sb") >= least).select("a", "b")
-    links = materialize(_verified(materialize(near.distinct()), nodes, docs, n, similarity))
+    near = star.join(signatures.toDF("a", "sa", "na"), "a").join(signatures.toDF("b", "sb", "nb"), "b")
+    near = near.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(F.arrow_udf(_agreement, "double")("sa", "sb") >= least)
+    links = materialize(_verified(materialize(near.select("a", "b").distinct()), nodes, docs, n, similarity))
     labels = connected_components(links)
-
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-    groups = labelled.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("largest"), F.sum("size").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    apart = labelled.join(mixed, "bucket").withColumn("subs", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("minor", F.col("label") != F.col("largest"))
-    whole = F.sequence(F.lit(0), F.col("subs") - 1)
-    apart = apart.withColumn("sub", F.explode(F.when(F.col("minor"), whole).otherwise(F.array(F.pmod(F.xxhash64("node"), "subs").cast("int")))))
-    apart = apart.select("bucket", "sub", "node", "label", "minor").join(signatures.withColumnRenamed("key", "node"), "node")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crossing = apart.repartition(parts, "bucket", "sub").sortWithinPartitions("bucket", "sub").mapInArrow(_cross_pairs(least), "a long, b long").distinct()
-    crossing = materialize(crossing)
-    more = materialize(_verified(crossing.join(near_failed(star, links), ["a", "b"], "left_anti"), nodes, docs, n, similarity))
+    more = materialize(_across(members, labels, nodes, docs, n, similarity))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
     grouped = signed.select("key", "class", "n_shingles").join(firsts, "class", "left").join(labels, "node", "left")
@@ -248,11 +275,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, bands: in
     return grouped.select(key.alias("doc_id"), "n_shingles", F.when(component != LAST, component).alias("component_id"), (F.col("key") == component).alias("kept"))
 
 
-def near_failed(star: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of star that were tested and aren't links."""
-    return star.join(links, ["a", "b"], "left_anti")
-
-
 def keep_first(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of docs that bear their group's component_id; of rows that repeat a doc_id and text one stays."""
     from pyspark.sql import Window

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import minhash, mixing, pieces, quality, substring, topk
+from quern.llm import graph, minhash, mixing, pieces, quality, substring, topk
 
 #: The SentencePiece model of op9 and of the pipeline's last stage, read on the driver.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -116,3 +116,19 @@ def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_nth(_read(spark, sf_dir, "embeddings"))
+
+
+@_query(
+    "op3_embedding_near_dedup",
+    r"""
+    WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM vectors UNION SELECT x, b FROM reach JOIN links ON y = a),
+    least AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, c = vec_id AS kept, CAST(1 AS DOUBLE) AS audited_recall
+    FROM vectors JOIN least ON x = vec_id LEFT JOIN counts ON a = vec_id
+    """,
+)
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.near_duplicates(_read(spark, sf_dir, "embeddings"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import graph, minhash, mixing, pieces, quality, substring, topk
+from quern.llm import graph, minhash, mixing, pieces, quality, sharding, substring, topk
 
 #: The SentencePiece model of op9 and of the pipeline's last stage, read on the driver.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -132,3 +132,8 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+@_query("op10_balanced_sharding")
+def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import graph, minhash, mixing, pieces, quality, sharding, substring, topk, toxicity
+from quern.llm import graph, licenses, minhash, mixing, pieces, quality, sharding, substring, topk, toxicity
 
 #: The SentencePiece model of op9 and of the pipeline's last stage, read on the driver.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,3 +142,8 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_read(spark, sf_dir, "documents"))

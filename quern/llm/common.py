@@ -40,6 +40,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def narrow(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose key is among ids (one column of that name, distinct), by a broadcast of checked size or a shuffle."""
     few = ids.count() <= BROADCAST_IDS

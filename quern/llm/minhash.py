@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LAST, batches_of_bytes, connected_components, encoded, gram_hashes, materialize, mix, narrow, runs, spread, word_hashes
+from quern.llm.common import LAST, batches_of_bytes, columns, connected_components, encoded, gram_hashes, materialize, mix, narrow, runs, spread, word_hashes
 
 BANDS, ROWS = 24, 4
 #: A pair of less estimated similarity than the threshold by this much isn't verified: five standard deviations at 0.8.
@@ -264,7 +264,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, bands: in
     star = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     near = star.join(signatures.toDF("a", "sa", "na"), "a").join(signatures.toDF("b", "sb", "nb"), "b")
     near = near.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(F.arrow_udf(_agreement, "double")("sa", "sb") >= least)
-    links = materialize(_verified(materialize(near.select("a", "b").distinct()), nodes, docs, n, similarity))
+    links = _verified(materialize(near.select("a", "b").distinct()), nodes, docs, n, similarity)
+    again = materialize(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    if not again.isEmpty():  # the texts of one doc_id are one document
+        texts = signed.join(again, "key").join(firsts, "class").select("key", "node").distinct()
+        least_node = texts.groupBy("key").agg(F.min("node").alias("a"))
+        links = links.union(texts.join(least_node, "key").where("node > a").select("a", "node")).distinct()
+    links = materialize(links)
     labels = connected_components(links)
     more = materialize(_across(members, labels, nodes, docs, n, similarity))
     if not more.isEmpty():
@@ -279,11 +285,11 @@ def keep_first(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of docs that bear their group's component_id; of rows that repeat a doc_id and text one stays."""
     from pyspark.sql import Window
 
-    rows = materialize(near_duplicates(docs, n, similarity).select(F.coalesce("doc_id", F.lit(LAST)).alias("_key"), "kept"))
-    out = docs.join(rows.where("kept").select("_key").distinct(), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_key"), "left_semi")
-    again = rows.groupBy("_key").count().where("count > 1").select(F.col("_key").alias("doc_id"))
+    rows = materialize(near_duplicates(docs, n, similarity).select(F.coalesce("doc_id", F.lit(LAST)).alias("__quern_key"), "kept"))
+    out = docs.join(rows.where("kept").select("__quern_key").distinct(), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__quern_key"), "left_semi")
+    again = rows.groupBy("__quern_key").count().where("count > 1").select(F.col("__quern_key").alias("doc_id"))
     if again.isEmpty():
         return out
     repeated = out.join(again, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return out.join(again, "doc_id", "left_anti").unionByName(repeated.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one"))
+    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*columns(docs)))
+    return out.join(again, "doc_id", "left_anti").unionByName(repeated.withColumn("__quern_one", F.row_number().over(one)).where("__quern_one = 1").drop("__quern_one"))

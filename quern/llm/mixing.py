@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, materialize, ranked
+from quern.llm.common import WORD, columns, materialize
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -146,15 +146,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """The mix as documents: a row of docs once for each whole pass over it, and once more, cut to the words taken (joined
     by one space), for a pass that takes part of it. All columns stay; n_chars, if there, follows the text."""
-    names = docs.columns
-    doses = mix(docs, weights, most, block).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    doses = materialize(doses.withColumnRenamed("doc_id", "_id"))
-    joined = docs.join(doses, F.col("doc_id").eqNullSafe(F.col("_id")))
-    passes = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    words = F.least(F.col("_taken") - (F.col("_pass") - 1) * F.col("_size"), F.col("_size"))
+    doses = mix(docs, weights, most, block).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("__quern_size"), F.max("taken").alias("__quern_taken"))
+    doses = materialize(doses.withColumnRenamed("doc_id", "__quern_id"))
+    joined = docs.join(doses, F.col("doc_id").eqNullSafe(F.col("__quern_id")))
+    passes = joined.withColumn("__quern_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__quern_taken") / F.col("__quern_size")).cast("int"))))
+    words = F.least(F.col("__quern_taken") - (F.col("__quern_pass") - 1) * F.col("__quern_size"), F.col("__quern_size"))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    part = words < F.col("_size")
-    out = passes.withColumn("_part", part).withColumn("text", F.when(part, some).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_part"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    part = words < F.col("__quern_size")
+    out = passes.withColumn("__quern_part", part).withColumn("text", F.when(part, some).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__quern_part"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*columns(docs))

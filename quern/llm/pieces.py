@@ -31,8 +31,8 @@ from quern.llm.common import batches_of_bytes
 
 MARK = "▁"
 NBEST = 4
-#: Units of each of a worker's two generations of remembered units, together about 200 MB.
-CACHED = 300_000
+#: Units of each of a worker's two generations of remembered units, together about 400 MB.
+CACHED = 600_000
 _NONE = float("-inf")
 
 

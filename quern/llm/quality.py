@@ -161,4 +161,4 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **limits:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **limits: int) -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
     model = train(docs, labels, **limits)
-    return docs.withColumn("_score", scorer(model)("text")).where(F.col("_score") >= threshold).drop("_score")
+    return docs.withColumn("__quern_score", scorer(model)("text")).where(F.col("__quern_score") >= threshold).drop("__quern_score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LAST, batches_of_bytes, encoded, gram_hashes, materialize, narrow, runs, slide_min, spread, word_hashes
+from quern.llm.common import LAST, batches_of_bytes, columns, encoded, gram_hashes, materialize, narrow, runs, slide_min, spread, word_hashes
 
 WIDTH = 50
 #: Words of a minimiser: long enough that common phrases aren't minimisers, short enough for super-k-mers of many windows.
@@ -241,10 +241,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> D
     rows, ranges = repeated_ranges(docs, width, m)
     whole = rows.where("copy").select("key", "row", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi")).distinct()
     spans = ranges.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("row", "lo", "hi")).alias("spans"))
-    spans = materialize(spans).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    names = docs.columns
+    spans = materialize(spans).select(F.col("key").alias("__quern_key"), F.col("spans").alias("__quern_spans"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    joined = docs.join(spans, key == F.col("_key"), "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_cutter(False)("text", key, "_spans")))
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return joined.select(*names)
+    joined = docs.join(spans, key == F.col("__quern_key"), "left").withColumn("text", F.when(F.col("__quern_spans").isNull(), F.col("text")).otherwise(_cutter(False)("text", key, "__quern_spans")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("__quern_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return joined.select(*columns(docs))

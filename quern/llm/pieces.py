@@ -16,8 +16,8 @@ Defined results: a null text has null ids and an empty text none; repeated rows
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
@@ -98,15 +98,18 @@ class PieceModel:
         return ending, best
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations, best first, by A-star from the end; equal scores in the order of their finding."""
+        """The n best segmentations, best first, by A-star from the end; equal scores in the order of their finding.
+
+        The heuristic is exact, so each open entry stands for a whole segmentation of just its score, and no two for the
+        same. Entries behind the n best open ones can't be needed, and are dropped: the search holds n entries."""
         if not unit:
             return [(0.0, ())]
         ending, best = self.lattice(unit)
         count = 0
-        heap: list = [(-best[-1], 0, len(unit), 0.0, None)]
+        queue: list = [(-best[-1], 0, len(unit), 0.0, None)]  # the best first; of equal scores the latest
         out: list[tuple[float, tuple[int, ...]]] = []
-        while heap and len(out) < n:
-            _, _, at, score, path = heapq.heappop(heap)
+        while queue and len(out) < n:
+            _, _, at, score, path = queue.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -115,8 +118,9 @@ class PieceModel:
                 out.append((score, tuple(ids)))
                 continue
             for start, s, ids in ending[at]:
-                count += 1
-                heapq.heappush(heap, (-(score + s + best[start]), count, start, score + s, (ids, path)))
+                count -= 1
+                insort(queue, (-(score + s + best[start]), count, start, score + s, (ids, path)))
+            del queue[n - len(out) :]
         return out
 
     def unit(self, unit: str) -> tuple[float, float, bytes]:

@@ -75,7 +75,7 @@ def _table(spark, sources: list[dict], block: int) -> DataFrame:
         full, rest = divmod(s["words"], s["size"]) if s["size"] else (0, 0)
         quota = full * blocks + -(-rest // block)
         last = rest - (-(-rest // block) - 1) * block if rest else 0
-        rows.append((s["k"], s["source"], s["size"], s["weight"], s["target"], s["words"], blocks, quota, last))
+        rows.append((s["k"], s["source"], s["size"], float(s["weight"]), float(s["target"]), s["words"], blocks, quota, last))
     return spark.createDataFrame(rows, "k int, source string, source_size long, weight double, target double, words long, blocks long, quota long, last long")
 
 

@@ -66,23 +66,21 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.clip(exact, -_LONG, _LONG - 1).astype(np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-    """For blocks of rows: vec_ids, partial scores (rows x queries) of each list, and whether the row is another vector."""
+def _large(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sums of products might leave 64 bits."""
+    peak = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (x, y)]
+    return peak[0] * peak[1] * max(x.shape[1], 1) >= 2**62
+
+
+def _parts(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray | None]]:
+    """For blocks of rows: vec_ids, partial scores (rows x queries) of each list, whether the row is another vector, and,
+    where partial scores might leave 64 bits, the totals held at the limits."""
     step = max(1, HELD // max(1, len(ids)))
     for batch in batches:
         for i in range(0, batch.num_rows, step):
             part = batch.slice(i, step)
             vec, x = np.asarray(part.column("vec_id")), _matrix(part.column("v"), None)
-            yield vec, [products(x[:, k::LISTS], q[:, k::LISTS]) for k in range(LISTS)], vec[:, None] != ids[None, :]
-
-
-def _total(partial: list[np.ndarray]) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        total = sum(partial[1:], partial[0])
-    large = sum(np.abs(p.astype(np.float64)) for p in partial) >= 2.0**62
-    if large.any():
-        total[large] = np.clip(sum(p[large].astype(object) for p in partial), -_LONG, _LONG - 1).astype(np.int64)
-    return total
+            yield vec, [products(x[:, k::LISTS], q[:, k::LISTS]) for k in range(LISTS)], vec[:, None] != ids[None, :], products(x, q) if _large(x, q) else None
 
 
 def _rows(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -93,8 +91,8 @@ def _gather(shared, k: int):
     def phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         held: tuple[np.ndarray, ...] = tuple(np.empty(0, np.int64) for _ in range(3))
-        for vec, partial, other in _parts(batches, ids, q):
-            total = _total(partial)
+        for vec, partial, other, held_total in _parts(batches, ids, q):
+            total = sum(partial[1:], partial[0]) if held_total is None else held_total
             chosen = np.zeros(total.shape, bool)
             for p in partial:
                 p = np.where(other, p, -_LONG)
@@ -121,11 +119,20 @@ def _best(held: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     return query[order], vec[order], score[order]
 
 
+def _entries(columns: list[np.ndarray], whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(whole, pa.bool_())], ["query_id", "vec_id", *(f"p{k}" for k in range(LISTS)), "whole"])
+
+
 def _collect(shared):
     def phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, cutoff, known = shared.value
         uniform = -((-cutoff) // LISTS)  # the least whole number that is enough for the mean
-        for vec, partial, other in _parts(batches, ids, q):
+        for vec, partial, other, held_total in _parts(batches, ids, q):
+            if held_total is not None:  # bounds don't hold beyond 64 bits: all are looked up
+                row, query = np.nonzero(other)
+                zero = np.zeros(len(row), np.int64)
+                yield _entries([ids[query], vec[row], *[zero] * LISTS], zero > 0)
+                continue
             over = [p >= uniform[None, :] for p in partial]
             seen = sum(o.astype(np.int8) for o in over)
             bound = sum(np.where(o, p.astype(np.float64), (uniform - 1).astype(np.float64)[None, :]) for o, p in zip(over, partial, strict=True))
@@ -135,9 +142,7 @@ def _collect(shared):
             columns = [ids[query], vec[row]]
             for o, p in zip(over, partial, strict=True):
                 columns.append(np.where(o[row, query], p[row, query], 0))
-            # sums of whole entries that could overflow are looked up too, where they are held at the limits
-            whole = (seen[row, query] == LISTS) & (np.abs(bound[row, query]) < 2.0**62)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(whole, pa.bool_())], ["query_id", "vec_id", *(f"p{k}" for k in range(LISTS)), "whole"])
+            yield _entries(columns, seen[row, query] == LISTS)
 
     return phase
 
@@ -146,7 +151,7 @@ def _dot(x: pa.Array, y: pa.Array) -> pa.Array:
     out = np.empty(len(x), np.int64)
     for i, (a, b) in enumerate(zip(x, y, strict=True)):
         a, b = np.asarray(a.values), np.asarray(b.values)
-        out[i] = _total([products(a[None, k::LISTS], b[None, k::LISTS]) for k in range(LISTS)])[0, 0]
+        out[i] = products(a[None, :], b[None, :])[0, 0]
     return pa.array(out)
 
 

@@ -13,8 +13,9 @@ one class, and only classes are compared.
 
 With 24 bands of 4 rows a pair of similarity 0.8 misses all buckets with probability 3e-6.
 
-Defined results: a null or blank text has no shingles and is linked with nothing. A null doc_id sorts after all others
-and such rows count as one document; rows that share a doc_id are one document.
+Defined results: a null or blank text has no shingles and is linked with nothing. Rows that share a doc_id are one
+document. Rows without one are documents of their own, equal word sequences together; their component_id is null where no
+doc_id is reachable, and then they are kept. (Inside, they get numbers from the top 2**40 longs, which ids mustn't use.)
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ BANDS, ROWS = 24, 4
 SLACK = 0.2
 #: Partners of one document, and sets of a cluster, that one task takes; more are dealt over several.
 PARTNERS = 20_000
+NAMELESS = 2**40
 BLOCK = 2000
 
-_SIGNED = "key long, class binary, n_shingles long, bands array<long>, signature binary"
+_SIGNED = "key long, print long, class binary, n_shingles long, bands array<long>, signature binary"
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +124,10 @@ def _signer(n: int, bands: int, rows: int):
             byte = (hashed.reshape(len(texts), m) >> np.uint64(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()),
+                    batch.column("key"), batch.column("print"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[sizes > 0].reshape(-1).view(np.int64), pa.int64())), pa.array([b.tobytes() for b in byte], pa.binary()),
                 ],
-                ["key", "class", "n_shingles", "bands", "signature"],
+                ["key", "print", "class", "n_shingles", "bands", "signature"],
             )
 
     return sign
@@ -139,7 +141,7 @@ def _setter(n: int):
             values, at = shingle_sets(texts, n)
             chosen = np.flatnonzero(same)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(chosen)), pa.array([values[at[i] : at[i + 1]].tobytes() for i in chosen], pa.binary())], ["node", "shingles"]
+                [batch.column("node").take(pa.array(chosen)), pa.array([values[at[i] : at[i + 1]].tobytes() for i in chosen], pa.binary())], ["node", "shingles"]
             )
 
     return sets
@@ -203,14 +205,15 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """node, shingles of the ids (one column key, distinct), written once."""
-    texts = narrow(docs, "key", ids).join(narrow(nodes.select("key", "class"), "key", ids), "key")
-    return materialize(texts.select("key", "text", "class").mapInArrow(_setter(n), "node long, shingles binary").distinct())
+    """node, shingles of the ids (one column node, distinct), written once."""
+    wanted = materialize(narrow(nodes.select("node", "key", "print", "class"), "node", ids))
+    texts = narrow(docs, "key", wanted.select("key").distinct()).join(wanted, ["key", "print"])
+    return materialize(texts.select("node", "text", "class").mapInArrow(_setter(n), "node long, shingles binary").distinct())
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
     """Those pairs (a < b, distinct) with 100 * common >= similarity * union, on the full sets of shingles."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets(materialize(ends), nodes, docs, n)
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("subs"))
     dealt = pairs.join(hubs, "a").withColumn("sub", F.pmod(F.xxhash64("b"), "subs").cast("int"))
@@ -239,7 +242,7 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataF
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     targets = rows.select("cluster", every("turns").alias("turn"), place("blocks").alias("block"), F.lit(False).alias("probe"), "node", "label")
     probes = rows.where("label != largest").select("cluster", place("turns").alias("turn"), every("blocks").alias("block"), F.lit(True).alias("probe"), "node", "label")
-    sets = _sets(inside.select(F.col("node").alias("key")).distinct(), nodes, docs, n)
+    sets = _sets(inside.select("node").distinct(), nodes, docs, n)
     dealt = targets.unionByName(probes).join(sets, "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["cluster", "turn", "block"]
@@ -250,24 +253,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, bands: in
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); similarity in hundredths.
 
     component_id is the smallest doc_id reachable over links; kept marks the document that bears it."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text")
+    return _grouped(docs, n, similarity, bands, rows).select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """key (doc_id, a null as the largest long), print (hash of the text), n_shingles, component_id, kept."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("print"), "text")
     signed = materialize(docs.mapInArrow(_signer(n, bands, rows), _SIGNED))
-    firsts = materialize(signed.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("node")))
-    nodes = signed.join(firsts, (signed["class"] == firsts["class"]) & (F.col("key") == F.col("node"))).select("key", signed["class"], "bands", "signature", "n_shingles")
-    nodes = materialize(nodes.dropDuplicates(["key", "class"]))
-    dealt = nodes.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
+    own = F.lit(LAST - 1) - F.pmod(F.xxhash64("class"), F.lit(NAMELESS - 1))
+    firsts = signed.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"))
+    firsts = materialize(firsts.select("class", "key", F.when(F.col("key") == LAST, own).otherwise(F.col("key")).alias("node")))
+    nodes = signed.join(firsts, ["class", "key"]).select("node", "key", "print", "class", "bands", "signature", "n_shingles")
+    nodes = materialize(nodes.dropDuplicates(["class"]))
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "first")
     members = materialize(dealt.join(shared, "bucket").select("bucket", "node", "first"))
-    signatures = nodes.select("key", "signature", "n_shingles")
+    signatures = nodes.select("node", "signature", "n_shingles")
     least = similarity / 100 - SLACK
 
     star = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     near = star.join(signatures.toDF("a", "sa", "na"), "a").join(signatures.toDF("b", "sb", "nb"), "b")
     near = near.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(F.arrow_udf(_agreement, "double")("sa", "sb") >= least)
     links = _verified(materialize(near.select("a", "b").distinct()), nodes, docs, n, similarity)
-    again = materialize(signed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    again = materialize(signed.where(F.col("key") < LAST).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
     if not again.isEmpty():  # the texts of one doc_id are one document
-        texts = signed.join(again, "key").join(firsts, "class").select("key", "node").distinct()
+        texts = signed.join(again, "key").join(firsts.select("class", "node"), "class").select("key", "node").distinct()
         least_node = texts.groupBy("key").agg(F.min("node").alias("a"))
         links = links.union(texts.join(least_node, "key").where("node > a").select("a", "node")).distinct()
     links = materialize(links)
@@ -275,21 +285,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, bands: in
     more = materialize(_across(members, labels, nodes, docs, n, similarity))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
-    grouped = signed.select("key", "class", "n_shingles").join(firsts, "class", "left").join(labels, "node", "left")
-    key = F.when(F.col("key") != LAST, F.col("key"))
+    grouped = signed.select("key", "print", "class", "n_shingles").join(firsts.select("class", "node"), "class", "left").join(labels, "node", "left")
     component = F.coalesce("component", "node", "key")
-    return grouped.select(key.alias("doc_id"), "n_shingles", F.when(component != LAST, component).alias("component_id"), (F.col("key") == component).alias("kept"))
+    named = F.when(component < LAST - NAMELESS, component)
+    return grouped.select("key", "print", "n_shingles", named.alias("component_id"), F.coalesce(F.col("key") == named, named.isNull()).alias("kept"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs that bear their group's component_id; of rows that repeat a doc_id and text one stays."""
+    """The rows of docs that bear their group's component_id, or have none; of rows that repeat a doc_id and text one stays."""
     from pyspark.sql import Window
 
-    rows = materialize(near_duplicates(docs, n, similarity).select(F.coalesce("doc_id", F.lit(LAST)).alias("__quern_key"), "kept"))
-    out = docs.join(rows.where("kept").select("__quern_key").distinct(), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__quern_key"), "left_semi")
-    again = rows.groupBy("__quern_key").count().where("count > 1").select(F.col("__quern_key").alias("doc_id"))
+    rows = materialize(_grouped(docs, n, similarity).select(F.col("key").alias("__quern_key"), F.col("print").alias("__quern_print"), "kept"))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__quern_key")) & (F.xxhash64("text") == F.col("__quern_print"))
+    out = docs.join(rows.where("kept").select("__quern_key", "__quern_print").distinct(), same, "left_semi")
+    again = materialize(rows.groupBy("__quern_key", "__quern_print").count().where("count > 1").select("__quern_key", "__quern_print"))
     if again.isEmpty():
         return out
-    repeated = out.join(again, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*columns(docs)))
-    return out.join(again, "doc_id", "left_anti").unionByName(repeated.withColumn("__quern_one", F.row_number().over(one)).where("__quern_one = 1").drop("__quern_one"))
+    one = Window.partitionBy(F.col("doc_id"), F.xxhash64("text")).orderBy(F.xxhash64(*columns(docs)))
+    repeated = out.join(again, same, "left_semi").withColumn("__quern_one", F.row_number().over(one)).where("__quern_one = 1").drop("__quern_one")
+    return out.join(again, same, "left_anti").unionByName(repeated)

@@ -37,7 +37,7 @@ BUCKET = 50_000
 #: Windows that a bucket sorts at once; more are sorted in passes, by checksum.
 SORTED = 200_000
 
-_SCAN = "key long, row long, n_words long, sha binary, starts array<int>, ends array<int>, minimisers array<long>"
+_SCAN = "key long, print long, row long, n_words long, sha binary, starts array<int>, ends array<int>, minimisers array<long>"
 _PACKED = "minimiser long, sub int, key long, row long, start int, packed binary"
 
 
@@ -68,10 +68,10 @@ def _scanner(width: int, m: int):
             offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[first], minlength=len(texts)))))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"), pa.array([_identity(s, k) for s, k in zip(shas, keys, strict=True)], pa.int64()), pa.array(words, pa.int64()), pa.array(shas, pa.binary()),
+                    batch.column("key"), batch.column("print"), pa.array([_identity(s, k) for s, k in zip(shas, keys, strict=True)], pa.int64()), pa.array(words, pa.int64()), pa.array(shas, pa.binary()),
                     _ragged(place[first], offsets, pa.int32()), _ragged(place[first] + (stop - first), offsets, pa.int32()), _ragged(value[first].view(np.int64), offsets, pa.int64()),
                 ],
-                ["key", "row", "n_words", "sha", "starts", "ends", "minimisers"],
+                ["key", "print", "row", "n_words", "sha", "starts", "ends", "minimisers"],
             )
 
     return scan
@@ -167,24 +167,29 @@ def _ranges(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "row", "lo", "hi"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key, print (a hash that tells texts of one key apart in joins; rows are then told apart exactly by row), text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("print"), "text")
+
+
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> tuple[DataFrame, DataFrame]:
     """Two tables of documents (doc_id, text). First, a row per row of docs: key (doc_id, a null as the largest long), row
     (identity of key and words), n_words, sha (of the words joined by one space), copy (whether an earlier document has
-    the same `width` words or more). Second, ranges of words to cut, one row each: key, row, lo, hi."""
+    the same `width` words or more). Second, ranges of words to cut, one row each: key, row, lo, hi. The first table also has print (see _keyed)."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text")
+    docs = _keyed(docs)
     scan = materialize(docs.mapInArrow(_scanner(width, m), _SCAN))
     firsts = scan.groupBy("sha").agg(F.min("key").alias("first"))
-    rows = scan.join(firsts, "sha").select("key", "row", "n_words", "sha", ((F.col("key") > F.col("first")) & (F.col("n_words") >= width)).alias("copy"))
+    rows = scan.join(firsts, "sha").select("key", "print", "row", "n_words", "sha", ((F.col("key") > F.col("first")) & (F.col("n_words") >= width)).alias("copy"))
     rows = materialize(rows)
     scanned = scan.where(F.size("starts") > 0).join(rows.where("copy").select("row").distinct(), "row", "left_anti")
-    parts = scanned.select("key", "row", F.expr("inline(arrays_zip(minimisers, starts, ends))"))
-    parts = parts.toDF("key", "row", "minimiser", "start", "end")
+    parts = scanned.select("key", "print", "row", F.expr("inline(arrays_zip(minimisers, starts, ends))"))
+    parts = parts.toDF("key", "print", "row", "minimiser", "start", "end")
     shared = parts.groupBy("minimiser").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = shared.select("minimiser", F.ceil(F.col("n") / BUCKET).cast("int").alias("subs"))
-    travels = parts.join(shared, "minimiser").groupBy("key", "row").agg(F.collect_list(F.struct("start", "end", "minimiser", "subs")).alias("parts"))
+    travels = parts.join(shared, "minimiser").groupBy("key", "print", "row").agg(F.collect_list(F.struct("start", "end", "minimiser", "subs")).alias("parts"))
     travels = materialize(travels)
-    texts = narrow(docs, "key", travels.select("key").distinct()).join(travels, "key")
+    texts = narrow(docs, "key", travels.select("key").distinct()).join(travels, ["key", "print"])
     packed = texts.select("key", "row", "text", "parts").mapInArrow(_packer(width), _PACKED)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = packed.repartition(n, "minimiser", "sub").sortWithinPartitions("minimiser", "sub").mapInArrow(_bucket(width), "key long, row long, lo int, hi int")
@@ -219,13 +224,17 @@ def _cutter(digest: bool):
     return F.arrow_udf(cut, "row long, n_removed long, kept_sha256 string" if digest else "string")
 
 
+def _spans(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """key, print, spans: the ranges of each document."""
+    prints = rows.select("row", "print").distinct()
+    return materialize(ranges.join(prints, "row").groupBy("key", "print").agg(F.collect_list(F.struct("row", "lo", "hi")).alias("spans")))
+
+
 def digests(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
     rows, ranges = repeated_ranges(docs, width, m)
-    spans = ranges.groupBy("key").agg(F.collect_list(F.struct("row", "lo", "hi")).alias("spans"))
-    spans = materialize(spans)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text")
-    texts = narrow(keyed, "key", spans.select("key")).join(spans, "key")
+    spans = _spans(rows, ranges)
+    texts = narrow(_keyed(docs), "key", spans.select("key").distinct()).join(spans, ["key", "print"])
     cut = texts.select("key", _cutter(True)("text", "key", "spans").alias("cut")).select("cut.*").distinct()
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return rows.join(cut, "row", "left").select(
@@ -240,10 +249,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> D
     All rows and columns stay, n_chars (if there) follows the new text."""
     rows, ranges = repeated_ranges(docs, width, m)
     whole = rows.where("copy").select("key", "row", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi")).distinct()
-    spans = ranges.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("row", "lo", "hi")).alias("spans"))
-    spans = materialize(spans).select(F.col("key").alias("__quern_key"), F.col("spans").alias("__quern_spans"))
+    spans = _spans(rows, ranges.unionByName(whole)).toDF("__quern_key", "__quern_print", "__quern_spans")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    joined = docs.join(spans, key == F.col("__quern_key"), "left").withColumn("text", F.when(F.col("__quern_spans").isNull(), F.col("text")).otherwise(_cutter(False)("text", key, "__quern_spans")))
+    joined = docs.join(spans, (key == F.col("__quern_key")) & (F.xxhash64("text") == F.col("__quern_print")), "left")
+    joined = joined.withColumn("text", F.when(F.col("__quern_spans").isNull(), F.col("text")).otherwise(_cutter(False)("text", key, "__quern_spans")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__quern_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return joined.select(*columns(docs))

@@ -144,6 +144,44 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-@_query("op1_license_scan")
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    anchor, term = quote(licenses.ANCHOR), quote(licenses.TERM)
+    return rf"""
+    WITH templates AS (SELECT * FROM (VALUES {templates}) AS t(template, license, text)),
+    files AS (SELECT row_number() OVER () AS file, doc_id, coalesce(text, '') AS text, coalesce(source, '_') AS source, coalesce(source, '_') || '/' || coalesce(lang, '_') AS folder FROM documents),
+    tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), {term})) AS term FROM templates) GROUP BY ALL),
+    vocabulary AS (SELECT DISTINCT term FROM tt),
+    df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT file, unnest(regexp_extract_all(lower(text), {term})) AS term FROM files) SEMI JOIN vocabulary USING (term) GROUP BY term),
+    n AS (SELECT count(*) AS n FROM files),
+    idf AS (SELECT term, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf FROM vocabulary LEFT JOIN df USING (term), n),
+    weighted AS (SELECT template, license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+    parts AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS part FROM weighted),
+    units AS (
+        SELECT file, 'line' AS kind, unnest(string_split(text, chr(10))) AS unit FROM files
+        UNION ALL SELECT file, 'paragraph', unnest(regexp_split_to_array(text, '
+[ 	]*
+')) FROM files
+        UNION ALL SELECT file, 'whole', text FROM files),
+    numbered AS (SELECT row_number() OVER () AS u, * FROM units WHERE regexp_matches(unit, {anchor})),
+    bags AS (SELECT u, file, kind, term, count(*) AS tf FROM (SELECT u, file, kind, unnest(regexp_extract_all(lower(unit), {term})) AS term FROM numbered) GROUP BY ALL),
+    heavy AS (SELECT u, file, kind, term, tf * coalesce(idf, ln((n + 1.0) / 2.0) + 1.0) AS w FROM bags LEFT JOIN idf USING (term), n),
+    size AS (SELECT u, sqrt(sum(w * w)) AS size FROM heavy GROUP BY u),
+    dots AS (SELECT u, file, kind, template, license, sum(w * part) AS dot FROM heavy JOIN parts USING (term) GROUP BY ALL),
+    best AS (SELECT u, file, kind, max(dot) AS dot, arg_min(license, (-round(dot, 9), license)) AS license FROM dots GROUP BY ALL),
+    found AS (SELECT file, kind, license, least(dot / size, 1.0) AS cosine FROM best JOIN size USING (u) WHERE dot / size >= {licenses.THRESHOLD}),
+    own AS (SELECT file, max(cosine) AS own_cosine, arg_min(license, (-round(cosine, 9), license)) AS own_license FROM found GROUP BY file),
+    whole AS (SELECT file, max(cosine) AS cosine, arg_min(license, (-round(cosine, 9), license)) AS license FROM found WHERE kind = 'whole' GROUP BY file),
+    stands AS (SELECT folder AS above, arg_min(license, (-round(cosine, 9), license)) AS license FROM whole JOIN files USING (file) GROUP BY folder),
+    ways AS (SELECT DISTINCT folder, unnest([folder, source, '']) AS above, unnest([0, 1, 2]) AS far FROM files),
+    near AS (SELECT folder, arg_min(above, far) AS above, arg_min(license, far) AS license FROM ways JOIN stands USING (above) GROUP BY folder)
+    SELECT doc_id, own_license, round(own_cosine, 6) AS own_cosine, coalesce(own_license, near.license) AS license,
+        CASE WHEN own_license IS NULL THEN near.above END AS inherited_from, whole.license IS NOT NULL AS license_file
+    FROM files LEFT JOIN own USING (file) LEFT JOIN whole USING (file) LEFT JOIN near USING (folder)
+    """
+
+
+@_query("op1_license_scan", _license_sql())
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_read(spark, sf_dir, "documents"))

@@ -1,7 +1,8 @@
 """Embedding near-dedup by a robust-pruned flat graph.
 
 1. Equal directions share one node. Nodes are assigned to overlapping shards: their `overlap` nearest centres, drawn from
-   a bounded sample; the nearest is the node's home. The number of centres grows with the nodes, so shards keep their size.
+   a bounded sample; the nearest is the node's home. Shards that are still too large are split again by centres of their
+   own, each from a bounded sample of it, until none is, so shards keep their size however many nodes there are.
 2. In each shard, robust pruning gives every node its edges: the nearest node left becomes a neighbour and rules out the
    nodes that are nearer to it, by the factor alpha, than to the node itself. A node's adjacency list is the union of its
    lists of all its shards.
@@ -32,15 +33,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialize, runs
+from quern.llm.common import connected_components, materialize, mix, runs
 from quern.llm.topk import usable
 
 COSINE = 0.95
 #: Nodes that a shard is meant to hold, centres at most, rows that the centres are drawn from at most.
-SHARD, CENTRES, SAMPLE = 1000, 4096, 20_000
+SHARD, CENTRES, SAMPLE = 1000, 1024, 20_000
+#: Times its meant size at which a shard is split again; rows of a split shard's sample, about; rounds of splitting.
+LARGE, SPLIT_SAMPLE, SPLITS = 6, 2000, 6
 OVERLAP = 3
 DEGREE, ALPHA, BEAM = 24, 1.2, 16
 VISITS = 4000
+#: Numbers of split shards begin here; those of first centres are smaller.
+SPLIT_IDS = 2**40
 AUDITED, RECALL = 200, 0.95
 
 
@@ -128,23 +133,71 @@ def search_all(x: np.ndarray, edges: list[np.ndarray], start: int, queries: np.n
             yield np.flatnonzero(value[i] >= cosine - 1e-5)
 
 
+def _kmeans(x: np.ndarray, k: int, rounds: int = 2) -> np.ndarray:
+    """k centres (fewer, if there are fewer rows): the first rows, moved to the means of what is nearest."""
+    c = x[: max(1, min(k, len(x)))].copy()
+    for _ in range(rounds):
+        home = np.concatenate([(x[i : i + 1000] @ c.T).argmax(axis=1) for i in range(0, len(x), 1000)])
+        for j in range(len(c)):
+            mean = x[home == j].sum(axis=0) if (home == j).any() else c[j]
+            c[j] = mean / (np.linalg.norm(mean) or 1)
+    return c
+
+
 def _centres(nodes: DataFrame, shards: int) -> dict[int, np.ndarray]:
-    """Centres by vector length: a bounded random sample (least hashes), moved by two rounds of k-means."""
+    """Centres by vector length, of a bounded random sample (least hashes)."""
     rows = nodes.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(SAMPLE).select("x").collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r[0]), []).append(r[0])
-    out = {}
-    for length, xs in by.items():
-        x = np.array(xs)
-        c = x[: max(1, min(shards, len(x)))].copy()
-        for _ in range(2):
-            home = (x @ c.T).argmax(axis=1)
-            for k in range(len(c)):
-                mean = x[home == k].sum(axis=0) if (home == k).any() else c[k]
-                c[k] = mean / (np.linalg.norm(mean) or 1)
-        out[length] = c
-    return out
+    return {length: _kmeans(np.array(xs), shards) for length, xs in by.items()}
+
+
+def _split_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shard, centres of the sampled rows (shard, parts, x) of shards to split."""
+    for group in runs(batches, ["shard"]):
+        data = io.BytesIO()
+        np.save(data, _kmeans(_stack(group.column("x").combine_chunks()), group.column("parts")[0].as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([group.column("shard")[0].as_py()], pa.int64()), pa.array([data.getvalue()], pa.binary())], ["shard", "centres"])
+
+
+def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, rank, shard: the two nearest parts of the node's shard; rank is that of the shard, then that of the part."""
+    for group in runs(batches, ["shard", "copy"]):
+        centres = [c for c in group.column("centres").to_pylist() if c is not None]
+        guests = group.filter(pc.is_valid(group.column("node")))
+        if not guests.num_rows:
+            continue
+        c = np.load(io.BytesIO(centres[0]))
+        near = _stack(guests.column("x").combine_chunks()) @ c.T
+        best = np.argsort(-near, axis=1, kind="stable")[:, :2]
+        n, w = best.shape
+        base = np.uint64(group.column("shard")[0].as_py() % 2**64)
+        ids = (mix(mix(base + np.arange(len(c), dtype=np.uint64) + np.uint64(1)) ^ base) >> np.uint64(2)).astype(np.int64) + SPLIT_IDS
+        rank = np.asarray(guests.column("rank")).repeat(w) * 2 + np.tile(np.arange(w), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(guests.column("node")).repeat(w)), pa.array(rank, pa.int64()), pa.array(ids[best.reshape(-1)])], ["node", "rank", "shard"])
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """members with shards of more than LARGE times the meant size split, round by round; the home stays first."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(SPLITS):
+        spread = members.select("node", "x", F.posexplode("shards").alias("rank", "shard"))
+        large = spread.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGE * SHARD)
+        large = materialize(large.select("shard", F.ceil(2 * F.col("n") / SHARD).cast("int").alias("parts"), F.ceil(F.col("n") / SPLIT_SAMPLE).alias("of"), F.ceil(F.col("n") / VISITS).cast("int").alias("copies")))
+        if large.isEmpty():
+            break
+        inside = spread.join(large, "shard")
+        some = inside.where(F.pmod(F.xxhash64(F.lit(9), "node"), "of") == 0).select("shard", "parts", "x", "node")
+        centres = materialize(some.repartition(parts, "shard").sortWithinPartitions("shard", "node").select("shard", "parts", "x").mapInArrow(_split_centres, "shard long, centres binary"))
+        copies = centres.join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("array<double>").alias("x"), "centres")
+        guests = inside.join(centres.select("shard"), "shard").select("shard", F.pmod(F.xxhash64("node"), "copies").cast("int").alias("copy"), "node", "rank", "x", F.lit(None).cast("binary").alias("centres"))
+        rows = copies.unionByName(guests).repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy")
+        moved = rows.mapInArrow(_split_rows, "node long, rank long, shard long")
+        stay = spread.join(centres.select("shard"), "shard", "left_anti").select("node", (F.col("rank") * 2).cast("long").alias("rank"), "shard")
+        lists = moved.unionByName(stay).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "shard"))).alias("l")).select("node", F.array_distinct(F.col("l.shard")).alias("shards"))
+        members = materialize(members.drop("shards").join(lists, "node"))
+    return members
 
 
 def _assigner(shared, overlap: int):
@@ -161,7 +214,7 @@ def _assigner(shared, overlap: int):
                     continue
                 near = centres[len(v)] @ v
                 shards.append((base[len(v)] + np.argsort(-near, kind="stable")[:overlap]).tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "weight", "x")), pa.array(shards, pa.list_(pa.int32()))], ["node", "weight", "x", "shards"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "weight", "x")), pa.array(shards, pa.list_(pa.int64()))], ["node", "weight", "x", "shards"])
 
     return assign
 
@@ -176,9 +229,9 @@ def _builder(degree: int, alpha: float):
             shards = group.column("shards").to_pylist()
             np.savez(
                 data, x=x, edges=edges, middle=middle, node=np.asarray(group.column("node")), weight=np.asarray(group.column("weight")),
-                home=np.array([s[0] for s in shards]), shards=np.array([s + [-1] * (OVERLAP * 4 - len(s)) for s in shards]),
+                home=np.array([s[0] for s in shards]), shards=np.array([s + [-1] * (max(map(len, shards)) - len(s)) for s in shards]),
             )
-            yield pa.RecordBatch.from_arrays([pa.array([group.column("shard")[0].as_py()], pa.int32()), pa.array([data.getvalue()], pa.binary())], ["shard", "graph"])
+            yield pa.RecordBatch.from_arrays([pa.array([group.column("shard")[0].as_py()], pa.int64()), pa.array([data.getvalue()], pa.binary())], ["shard", "graph"])
 
     return build
 
@@ -223,7 +276,7 @@ def _searcher(cosine: float):
 
 
 def _visits(node: np.ndarray, shard: int, links: np.ndarray, tie: np.ndarray, onward: list[list[int]]) -> pa.RecordBatch:
-    columns = [pa.array(node), pa.array(np.full(len(node), shard, np.int32)), pa.array(links), pa.array(tie), pa.array(onward, pa.list_(pa.int32()))]
+    columns = [pa.array(node), pa.array(np.full(len(node), shard, np.int64)), pa.array(links), pa.array(tie), pa.array(onward, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays(columns, ["node", "shard", "links", "tie", "next"])
 
 
@@ -232,7 +285,7 @@ def _search(members: DataFrame, cosine: float) -> DataFrame:
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = members.withColumn("shard", F.explode("shards"))
-    graphs = materialize(spread.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_builder(DEGREE, ALPHA), "shard int, graph binary"))
+    graphs = materialize(spread.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_builder(DEGREE, ALPHA), "shard long, graph binary"))
     wanted = spread.select("node", "shard")
     vectors = members.select("node", "x")
     visits: DataFrame | None = None
@@ -241,7 +294,7 @@ def _search(members: DataFrame, cosine: float) -> DataFrame:
         copies = graphs.join(crowd, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<double>").alias("x"), "graph")
         guests = wanted.join(crowd, "shard").join(vectors, "node").select("shard", F.pmod(F.xxhash64("node"), "copies").cast("int").alias("copy"), "node", "x", F.lit(None).cast("binary").alias("graph"))
         rows = copies.unionByName(guests).repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy")
-        found = materialize(rows.mapInArrow(_searcher(cosine), "node long, shard int, links long, tie long, next array<int>"))
+        found = materialize(rows.mapInArrow(_searcher(cosine), "node long, shard long, links long, tie long, next array<long>"))
         visits = found if visits is None else visits.unionByName(found)
         more = found.select("node", F.explode("next").alias("shard")).distinct().join(visits.select("node", "shard"), ["node", "shard"], "left_anti")
         wanted = materialize(more)
@@ -290,7 +343,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = O
     while True:
         shards = min(CENTRES, -(-n * overlap // SHARD)) if n > 2 * SHARD else 1
         shared = vectors.sparkSession.sparkContext.broadcast(_centres(nodes, shards))
-        members = materialize(nodes.mapInArrow(_assigner(shared, overlap), "node long, weight long, x array<double>, shards array<int>"))
+        members = materialize(nodes.mapInArrow(_assigner(shared, overlap), "node long, weight long, x array<double>, shards array<long>"))
+        members = _split(members)
         visits = _search(members, cosine)
         counted = materialize(visits.groupBy("node").agg(F.sum("links").alias("links")))
         recall = audit(nodes, counted, cosine)

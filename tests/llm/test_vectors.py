@@ -52,10 +52,11 @@ def brute_links(rows, cosine=0.95):
     return [(k, links.get(i, 0), None if k is None else find(k)) for i, (k, v) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("shard", [1000, 20])
-def test_links_as_by_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "centres"), [(1000, 1024), (20, 1024), (20, 2)])
+def test_links_as_by_brute_force(spark, monkeypatch, shard, centres):
     rows = odd_vectors(random.Random(shard))
     monkeypatch.setattr(graph, "SHARD", shard)
+    monkeypatch.setattr(graph, "CENTRES", centres)
     monkeypatch.setattr(graph, "VISITS", 15)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as x", "2 as node", "'s' as shard")
     got = graph.near_duplicates(df).collect()
@@ -65,13 +66,15 @@ def test_links_as_by_brute_force(spark, monkeypatch, shard):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) and r.audited_recall >= graph.RECALL for r in got)
 
 
-def test_many_nodes_in_small_shards_keep_recall(spark, monkeypatch):
+@pytest.mark.parametrize("centres", [1024, 3])
+def test_many_nodes_in_small_shards_keep_recall(spark, monkeypatch, centres):
     rng = random.Random(5)
     rows = [(i, [float(x) for x in unit(rng, 16)]) for i in range(600)]
     for g in range(20):
         base = unit(rng, 16)
         rows += [(1000 + g * 50 + i, [float(x) for x in base + 0.1 * unit(rng, 16)]) for i in range(40)]
-    monkeypatch.setattr(graph, "SHARD", 100)
+    monkeypatch.setattr(graph, "SHARD", 50)
+    monkeypatch.setattr(graph, "CENTRES", centres)  # of 3 centres, shards are split again
     got = {r.vec_id: r.n_links for r in graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     true = {k: n for k, n, _ in brute_links(rows)}
     assert all(got[k] <= true[k] for k in true) and sum(got.values()) >= 0.97 * sum(true.values()) > 0

@@ -6,9 +6,12 @@ driver and all executors share, so a lost executor never forces a step to be rec
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,33 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern/{uuid.uuid4().hex}"
 
 
+#: Scratch tables of the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), written; the scratch tables that it wrote on the way are deleted."""
+    _scopes.append([])
+    try:
+        df = make()
+    finally:
+        inner = _scopes.pop()
+    out, spark = materialize(df), df.sparkSession
+    for path in inner:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of df, whatever their names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -70,6 +93,36 @@ def ranked(df: DataFrame, part: list[str], order: list[str | Column], name: str,
     return df.withColumn("_in", inside).join(starts, same).withColumn(name, F.col("_start") + F.col("_in") - 1).drop("_bucket", "_b", "_in", "_start", *[f"_p_{c}" for c in part])
 
 
+# ---------------------------------------------------------------------------------------------------------------
+# Memory of Python workers, which later stages use again
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keep_until_others(name: str, clear: Callable[[], None]) -> None:
+    """Registers what an operator keeps in a worker beyond its task, to be cleared once another operator runs there."""
+    _caches[name] = clear
+
+
+def make_room(name: str = "") -> None:
+    """Clears what other operators have kept in this worker."""
+    for other in [k for k in _caches if k != name]:
+        _caches.pop(other)()
+
+
+def tidied(f: Callable) -> Callable:
+    """f, a function from batches to batches, that leaves no freed memory in the worker's pools, as workers outlive tasks."""
+
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Hashes of words, by numpy over whole buffers
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialize, mix, runs
+from quern.llm.common import connected_components, materialize, mix, runs, settled, tidied
 from quern.llm.topk import usable
 
 COSINE = 0.95
@@ -285,7 +285,7 @@ def _search(members: DataFrame, cosine: float) -> DataFrame:
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = members.withColumn("shard", F.explode("shards"))
-    graphs = materialize(spread.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_builder(DEGREE, ALPHA), "shard long, graph binary"))
+    graphs = materialize(spread.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidied(_builder(DEGREE, ALPHA)), "shard long, graph binary"))
     wanted = spread.select("node", "shard")
     vectors = members.select("node", "x")
     visits: DataFrame | None = None
@@ -294,7 +294,7 @@ def _search(members: DataFrame, cosine: float) -> DataFrame:
         copies = graphs.join(crowd, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<double>").alias("x"), "graph")
         guests = wanted.join(crowd, "shard").join(vectors, "node").select("shard", F.pmod(F.xxhash64("node"), "copies").cast("int").alias("copy"), "node", "x", F.lit(None).cast("binary").alias("graph"))
         rows = copies.unionByName(guests).repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy")
-        found = materialize(rows.mapInArrow(_searcher(cosine), "node long, shard long, links long, tie long, next array<long>"))
+        found = materialize(rows.mapInArrow(tidied(_searcher(cosine)), "node long, shard long, links long, tie long, next array<long>"))
         visits = found if visits is None else visits.unionByName(found)
         more = found.select("node", F.explode("next").alias("shard")).distinct().join(visits.select("node", "shard"), ["node", "shard"], "left_anti")
         wanted = materialize(more)
@@ -331,6 +331,10 @@ def audit(nodes: DataFrame, counted: DataFrame, cosine: float, most: int = AUDIT
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall for every row of vectors (vec_id, embedding)."""
+    return settled(lambda: _near_duplicates(vectors, cosine, overlap))
+
+
+def _near_duplicates(vectors: DataFrame, cosine: float, overlap: int) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"), usable(F.col("embedding")).alias("ok"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v))
     # scaled by the largest component first, so that squares neither overflow nor vanish
@@ -343,7 +347,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = O
     while True:
         shards = min(CENTRES, -(-n * overlap // SHARD)) if n > 2 * SHARD else 1
         shared = vectors.sparkSession.sparkContext.broadcast(_centres(nodes, shards))
-        members = materialize(nodes.mapInArrow(_assigner(shared, overlap), "node long, weight long, x array<double>, shards array<long>"))
+        members = materialize(nodes.mapInArrow(tidied(_assigner(shared, overlap)), "node long, weight long, x array<double>, shards array<long>"))
         members = _split(members)
         visits = _search(members, cosine)
         counted = materialize(visits.groupBy("node").agg(F.sum("links").alias("links")))

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_IDS, materialize
+from quern.llm.common import BROADCAST_IDS, materialize, settled
 
 #: Licences and the texts that announce them.
 TEMPLATES = (
@@ -114,6 +114,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """file, path, own_license, own_cosine, license, inherited_from, license_file of every row of files (path, text).
 
     path has folders and a name, parted by /; file is a number of the row, given here."""
+    return settled(lambda: _scan(files, threshold))
+
+
+def _scan(files: DataFrame, threshold: float) -> DataFrame:
     # only texts with an anchor are written
     anchored = F.when(F.col("text").rlike(ANCHOR), F.col("text")).alias("text")
     named = materialize(files.select(F.coalesce("path", F.lit("_")).alias("path"), anchored).withColumn("file", F.monotonically_increasing_id()))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LAST, batches_of_bytes, columns, connected_components, encoded, gram_hashes, materialize, mix, narrow, runs, spread, word_hashes
+from quern.llm.common import BROADCAST_IDS, LAST, batches_of_bytes, columns, connected_components, encoded, gram_hashes, make_room, materialize, mix, narrow, runs, settled, spread, tidied, word_hashes
 
 BANDS, ROWS = 24, 4
 #: A pair of less estimated similarity than the threshold by this much isn't verified: five standard deviations at 0.8.
@@ -109,7 +109,8 @@ def _signer(n: int, bands: int, rows: int):
     m = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_bytes(batches, "text", 4 << 20):
+        make_room()
+        for batch in batches_of_bytes(batches, "text", 2 << 20):
             texts = [encoded(t).lower() for t in batch.column("text").to_pylist()]
             classes = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
             values, at = shingle_sets(texts, n)
@@ -208,7 +209,7 @@ def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFram
     """node, shingles of the ids (one column node, distinct), written once."""
     wanted = materialize(narrow(nodes.select("node", "key", "print", "class"), "node", ids))
     texts = narrow(docs, "key", wanted.select("key").distinct()).join(wanted, ["key", "print"])
-    return materialize(texts.select("node", "text", "class").mapInArrow(_setter(n), "node long, shingles binary").distinct())
+    return materialize(texts.select("node", "text", "class").mapInArrow(tidied(_setter(n)), "node long, shingles binary").distinct())
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -246,20 +247,21 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataF
     dealt = targets.unionByName(probes).join(sets, "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["cluster", "turn", "block"]
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_cross_links(similarity), "a long, b long").distinct()
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tidied(_cross_links(similarity)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); similarity in hundredths.
 
     component_id is the smallest doc_id reachable over links; kept marks the document that bears it."""
-    return _grouped(docs, n, similarity, bands, rows).select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), "n_shingles", "component_id", "kept")
+    found = settled(lambda: _grouped(docs, n, similarity, bands, rows))
+    return found.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key (doc_id, a null as the largest long), print (hash of the text), n_shingles, component_id, kept."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("print"), "text")
-    signed = materialize(docs.mapInArrow(_signer(n, bands, rows), _SIGNED))
+    signed = materialize(docs.mapInArrow(tidied(_signer(n, bands, rows)), _SIGNED))
     own = F.lit(LAST - 1) - F.pmod(F.xxhash64("class"), F.lit(NAMELESS - 1))
     firsts = signed.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"))
     firsts = materialize(firsts.select("class", "key", F.when(F.col("key") == LAST, own).otherwise(F.col("key")).alias("node")))
@@ -295,9 +297,12 @@ def keep_first(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of docs that bear their group's component_id, or have none; of rows that repeat a doc_id and text one stays."""
     from pyspark.sql import Window
 
-    rows = materialize(_grouped(docs, n, similarity).select(F.col("key").alias("__quern_key"), F.col("print").alias("__quern_print"), "kept"))
+    found = settled(lambda: _grouped(docs, n, similarity))
+    rows = found.select(F.col("key").alias("__quern_key"), F.col("print").alias("__quern_print"), "kept")
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__quern_key")) & (F.xxhash64("text") == F.col("__quern_print"))
-    out = docs.join(rows.where("kept").select("__quern_key", "__quern_print").distinct(), same, "left_semi")
+    # texts stay where they are as long as the list of rows that go is of a size to broadcast
+    go = materialize(rows.where("not kept").select("__quern_key", "__quern_print").distinct())
+    out = docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, same, "left_anti")
     again = materialize(rows.groupBy("__quern_key", "__quern_print").count().where("count > 1").select("__quern_key", "__quern_print"))
     if again.isEmpty():
         return out

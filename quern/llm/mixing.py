@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, columns, materialize
+from quern.llm.common import BROADCAST_IDS, WORD, columns, materialize, settled
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -124,6 +124,10 @@ def streams(sized: DataFrame, sources: list[dict], n_rows: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of the document in the mix, repeats counted), and its source k and
     start in the stream, for every row of docs (doc_id, text, source)."""
+    return settled(lambda: _mix(docs, weights, most, block))
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], most: float, block: int) -> DataFrame:
     spark = docs.sparkSession
     sized = materialize(sizes(docs))
     sources = plan(sized, weights, most)
@@ -148,7 +152,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     by one space), for a pass that takes part of it. All columns stay; n_chars, if there, follows the text."""
     doses = mix(docs, weights, most, block).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("__quern_size"), F.max("taken").alias("__quern_taken"))
     doses = materialize(doses.withColumnRenamed("doc_id", "__quern_id"))
-    joined = docs.join(doses, F.col("doc_id").eqNullSafe(F.col("__quern_id")))
+    # texts stay where they are as long as the doses are of a size to broadcast
+    joined = docs.join(F.broadcast(doses) if doses.count() <= BROADCAST_IDS else doses, F.col("doc_id").eqNullSafe(F.col("__quern_id")))
     passes = joined.withColumn("__quern_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__quern_taken") / F.col("__quern_size")).cast("int"))))
     words = F.least(F.col("__quern_taken") - (F.col("__quern_pass") - 1) * F.col("__quern_size"), F.col("__quern_size"))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches_of_bytes
+from quern.llm.common import batches_of_bytes, keep_until_others, make_room
 
 MARK = "▁"
 NBEST = 4
-#: Units of each of a worker's two generations of remembered units, together about 400 MB.
-CACHED = 600_000
+#: Units of each of a worker's two generations of remembered units, together about 150 MB.
+CACHED = 350_000
 _NONE = float("-inf")
 
 
@@ -68,11 +68,16 @@ class PieceModel:
                 self.bytes[i] = text.encode()
         self.longest = max(map(len, self.pieces), default=1)
         self.penalty = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - 10.0
+        # the score that an id adds to a segmentation: bytes and the unknown piece come from fallback only
+        self.scores = np.full(self.size, self.penalty)
+        for i, score in self.pieces.values():
+            self.scores[i] = score
+        self.integral = all(x.is_integer() for _, x in self.pieces.values()) and float(self.penalty).is_integer()
         self.units = re.compile(_unit_pattern(self.pieces))
         # pieces, and False for what only begins a piece
         self.table: dict = {p[:i]: False for p in self.pieces for i in range(1, len(p))} | self.pieces
-        self.cache: dict[str, tuple[float, float, bytes]] = {}
-        self.older: dict[str, tuple[float, float, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def fallback(self, char: str) -> tuple[int, ...]:
         ids = tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -123,9 +128,9 @@ class PieceModel:
             del queue[n - len(out) :]
         return out
 
-    def unit(self, unit: str) -> tuple[float, float, bytes]:
-        """Best score, what the second best costs more, and the best ids as 32-bit integers: forward Viterbi that carries
-        the two best scores of each place."""
+    def unit(self, unit: str) -> bytes:
+        """The unit's entry: what the second best costs more, negated, as a 32-bit float (so its bits are a negative number),
+        then the best ids, as 32-bit integers. Forward Viterbi carries the two best scores of each place."""
         table, longest, n = self.table, self.longest, len(unit)
         first, second = [_NONE] * (n + 1), [_NONE] * (n + 1)
         back: list = [None] * (n + 1)
@@ -165,17 +170,17 @@ class PieceModel:
             else:
                 ids.extend(reversed(found))
         ids.reverse()
-        entry = (first[n], first[n] - second[n], pack(f"<{len(ids)}i", *ids))
+        entry = pack(f"<f{len(ids)}i", second[n] - first[n] or -0.0, *ids)
         self.remember(unit, entry)
         return entry
 
-    def remember(self, unit: str, entry: tuple[float, float, bytes]) -> None:
+    def remember(self, unit: str, entry: bytes) -> None:
         """Two generations: when the younger is full it becomes the older, and what was in that is forgotten."""
         if len(self.cache) >= CACHED:
             self.older, self.cache = self.cache, {}
         self.cache[unit] = entry
 
-    def seen(self, unit: str) -> tuple[float, float, bytes]:
+    def seen(self, unit: str) -> bytes:
         entry = self.older.get(unit)
         if entry is None:
             return self.unit(unit)
@@ -185,32 +190,43 @@ class PieceModel:
     def encode(self, text: str, n: int = NBEST) -> tuple[np.ndarray, list[tuple[float, dict[int, tuple[int, ...]]]], list[str]]:
         """Ids of the best segmentation; the n best as score and the units that differ from the best; the units."""
         units = self.units.findall(" " + text) if text else []
-        seen = self.seen
-        entries = [self.cache.get(u) or seen(u) for u in units]
-        ids = np.frombuffer(b"".join([e[2] for e in entries]), np.int32)
-        total = sum([e[0] for e in entries])
+        seen = self.seen  # the cache may be another dict after it
+        flat = np.frombuffer(b"".join([self.cache.get(u) or seen(u) for u in units]), np.int32)
+        ids = flat[flat >= 0]
+        total = float(self.scores[ids].sum())
         ways: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         if n > 1 and units:
-            cost = np.array([e[1] for e in entries])
-            for p in np.sort(np.argsort(cost, kind="stable")[: n - 1]).tolist():
-                others = [(entries[p][0] - s, x) for s, x in self.nbest(units[p], n)[1:]]
+            cost = -flat[flat < 0].view(np.float32)
+            bound = np.partition(cost, min(n - 2, len(cost) - 1))[min(n - 2, len(cost) - 1)]
+            if self.integral and bound < 2**24:  # such costs are exact as floats
+                near = np.argsort(cost, kind="stable")[: n - 1].tolist()
+            else:  # costs are rounded: near the bound the exact ones decide
+                near = np.flatnonzero((cost <= bound * (1 + 1e-6)) & np.isfinite(cost)).tolist()
+            near = [p for p in near if np.isfinite(cost[p])]
+            best = {u: self.nbest(u, n) for u in {units[p] for p in near}}
+            exact = sorted((best[units[p]][0][0] - best[units[p]][1][0], p) for p in near)[: n - 1]
+            for p in sorted(p for _, p in exact):
+                found = best[units[p]]
+                others = [(found[0][0] - s, x) for s, x in found[1:]]
                 ways = sorted([*ways, *((c + d, w | {p: x}) for c, w in ways for d, x in others)], key=lambda w: w[0])[:n]
         return ids, [(total - c, w) for c, w in ways], units
 
     def nbest_ids(self, text: str, n: int = NBEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text."""
         _, ways, units = self.encode(text, n)
-        best = [np.frombuffer((self.cache.get(u) or self.seen(u))[2], np.int32).tolist() for u in units]
+        best = [np.frombuffer(self.cache.get(u) or self.seen(u), np.int32)[1:].tolist() for u in units]
         return [(score, [i for p, ids in enumerate(best) for i in way.get(p, ids)]) for score, way in ways]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the blank in front; bytes that aren't UTF-8 become replacement marks."""
         table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(maxsize=2)
 def _loaded(digest: str, proto: bytes) -> PieceModel:
+    make_room("pieces")
+    keep_until_others("pieces", _loaded.cache_clear)
     return PieceModel(proto)
 
 

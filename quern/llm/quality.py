@@ -6,7 +6,7 @@ what is cheap. Difference and logarithm of the plain compression rate (repetitiv
 logistic calibration fitted on labelled rows that the dictionaries haven't seen.
 
 Labels are learned from a bounded sample: of the labelled rows, those of least hash, at most `max_rows` of each label and
-`max_bytes` of text. The sample decides the model alone; every row is scored on its whole text, in one narrow pass.
+`max_bytes` of text. The sample and the share of label 1 among all labels that may teach decide the model; every row is scored on its whole text, in one narrow pass.
 
 Defined results: null and empty texts get the score of the calibration at no difference. A row without a label is scored
 like any other; labels other than 0 and 1, and null ids among the labels, teach nothing. If the sample lacks one of the
@@ -15,6 +15,7 @@ labels, every score is the share of label 1 in it (0.5 without labels).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import encoded
+from quern.llm.common import encoded, make_room
 
 BLOCK = 1024
-DICTIONARY = 112 << 10
+DICTIONARY = 448 << 10
 LEVEL = 3
+#: Bytes added to the size that differences are taken relative to, so that a few bytes of a short text decide little.
+STEADY = 64
 MAX_ROWS = 2000
 MAX_BYTES = 16 << 20
 HELD_OUT = (4, 2)
@@ -64,7 +67,7 @@ class _Sizes:
             return 0.0, float(np.log(0.5))
         parts = _blocks(text)
         good, bad, plain = (sum(len(c.compress(p)) for p in parts) for c in (self.good, self.bad, self.plain))
-        return (bad - good) / plain, float(np.log(plain / (len(text) + 16 * len(parts))))
+        return (bad - good) / (plain + STEADY), float(np.log(plain / (len(text) + 16 * len(parts))))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -90,24 +93,48 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 60
     return w
 
 
-def fit(rows: list[tuple[str | None, int]]) -> QualityModel:
-    """Dictionaries from the rows at even places, calibration on those at odd ones."""
+def _telling(texts: list[bytes], common: set[bytes]) -> list[bytes]:
+    """The texts without the lines that others have, too: shared lines tell nothing of quality."""
+    return [t for t in (b"\n".join(x for x in t.split(b"\n") if x not in common) for t in texts) if t]
+
+
+def shift(y: np.ndarray, share: float | None) -> float:
+    """What to add to a constant that was fitted on labels y, for a corpus with that share of label 1."""
+    if share is None:
+        return 0.0
+    share, mine = min(max(share, 1e-3), 1 - 1e-3), float(y.mean())
+    return float(np.log(share / (1 - share)) - np.log(mine / (1 - mine)))
+
+
+def share_of_ones(labels: DataFrame, label: str, held_out: Column) -> float | None:
+    """The share of label 1 among the labels that may teach."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1)).where(~held_out)
+    return known.agg(F.avg("_label")).collect()[0][0]
+
+
+def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> QualityModel:
+    """Dictionaries from the rows at even places, calibration on those at odd ones; share is that of label 1 among all
+    labels, of which the rows may hold another."""
     share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1) if rows else 0.5
     flat = QualityModel(b"", b"", (0.0, 0.0, float(np.log(share / (1 - share)))), (0.0, 0.0), (1.0, 1.0))
     if len({y for _, y in rows}) < 2:
         return flat
     parts: dict[int, tuple[list[bytes], list[bytes]]] = {}
     for y in (0, 1):
-        texts = [encoded(t) for t, label in rows if label == y and t]
+        texts = list(dict.fromkeys(encoded(t) for t, label in rows if label == y and t))
         parts[y] = texts[::2], texts[1::2] or texts
     if not parts[0][0] or not parts[1][0]:
         return flat
-    good, bad = _dictionary(parts[1][0]), _dictionary(parts[0][0])
+    lines = Counter(x for y in (0, 1) for t in parts[y][0] for x in set(t.split(b"\n")))
+    common = {x for x, n in lines.items() if n > 1}
+    good, bad = (_dictionary(_telling(parts[y][0], common) or parts[y][0]) for y in (1, 0))
     sizes = _Sizes(good, bad)
     x = np.array([sizes(t) for y in (0, 1) for t in parts[y][1]])
     y = np.concatenate([np.full(len(parts[y][1]), float(y)) for y in (0, 1)])
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return QualityModel(good, bad, tuple(logistic((x - means) / scales, y).tolist()), tuple(means.tolist()), tuple(scales.tolist()))
+    weights = logistic((x - means) / scales, y)
+    weights[-1] += shift(y, share)
+    return QualityModel(good, bad, tuple(weights.tolist()), tuple(means.tolist()), tuple(scales.tolist()))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_rows: int, max_bytes: int) -> list[tuple[str | None, int]]:
@@ -133,13 +160,15 @@ def held_out(doc_id: Column, held: tuple[int, int]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> QualityModel:
-    return fit(sample(docs, labels, "quality", held_out(F.col("_id"), HELD_OUT), max_rows, max_bytes))
+    held = held_out(F.col("_id"), HELD_OUT)
+    return fit(sample(docs, labels, "quality", held, max_rows, max_bytes), share_of_ones(labels, "quality", held))
 
 
 def scorer(model: QualityModel):
     """The score of a text column, as a column function."""
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make_room()
         sizes = _Sizes(model.good, model.bad)
         w, means, scales = np.array(model.weights), np.array(model.means), np.array(model.scales)
         for batch in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, ranked
+from quern.llm.common import materialize, ranked, settled
 
 SHARDS = 24
 ROUNDS = 4
@@ -85,6 +85,10 @@ def _round(placed: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame,
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text)."""
+    return settled(lambda: _shard(docs, shards, rounds))
+
+
+def _shard(docs: DataFrame, shards: int, rounds: int) -> DataFrame:
     base = materialize(described(docs))
     total = base.count()
     quota = _quota(total, shards)

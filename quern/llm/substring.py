@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LAST, batches_of_bytes, columns, encoded, gram_hashes, materialize, narrow, runs, slide_min, spread, word_hashes
+from quern.llm.common import BROADCAST_IDS, LAST, batches_of_bytes, columns, encoded, gram_hashes, make_room, materialize, narrow, runs, settled, slide_min, spread, tidied, word_hashes
 
 WIDTH = 50
 #: Words of a minimiser: long enough that common phrases aren't minimisers, short enough for super-k-mers of many windows.
@@ -51,7 +51,8 @@ def _ragged(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Ar
 
 def _scanner(width: int, m: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_bytes(batches, "text"):
+        make_room()
+        for batch in batches_of_bytes(batches, "text", 3 << 20):
             texts = [encoded(t) for t in batch.column("text").to_pylist()]
             keys = batch.column("key").to_pylist()
             shas = [hashlib.sha256(b" ".join(t.split())).digest() for t in texts]
@@ -178,7 +179,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) ->
     the same `width` words or more). Second, ranges of words to cut, one row each: key, row, lo, hi. The first table also has print (see _keyed)."""
     spark = docs.sparkSession
     docs = _keyed(docs)
-    scan = materialize(docs.mapInArrow(_scanner(width, m), _SCAN))
+    scan = materialize(docs.mapInArrow(tidied(_scanner(width, m)), _SCAN))
     firsts = scan.groupBy("sha").agg(F.min("key").alias("first"))
     rows = scan.join(firsts, "sha").select("key", "print", "row", "n_words", "sha", ((F.col("key") > F.col("first")) & (F.col("n_words") >= width)).alias("copy"))
     rows = materialize(rows)
@@ -190,9 +191,9 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) ->
     travels = parts.join(shared, "minimiser").groupBy("key", "print", "row").agg(F.collect_list(F.struct("start", "end", "minimiser", "subs")).alias("parts"))
     travels = materialize(travels)
     texts = narrow(docs, "key", travels.select("key").distinct()).join(travels, ["key", "print"])
-    packed = texts.select("key", "row", "text", "parts").mapInArrow(_packer(width), _PACKED)
+    packed = texts.select("key", "row", "text", "parts").mapInArrow(tidied(_packer(width)), _PACKED)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = packed.repartition(n, "minimiser", "sub").sortWithinPartitions("minimiser", "sub").mapInArrow(_bucket(width), "key long, row long, lo int, hi int")
+    ranges = packed.repartition(n, "minimiser", "sub").sortWithinPartitions("minimiser", "sub").mapInArrow(tidied(_bucket(width)), "key long, row long, lo int, hi int")
     return rows, materialize(ranges)
 
 
@@ -232,6 +233,10 @@ def _spans(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
+    return settled(lambda: _digests(docs, width, m))
+
+
+def _digests(docs: DataFrame, width: int, m: int) -> DataFrame:
     rows, ranges = repeated_ranges(docs, width, m)
     spans = _spans(rows, ranges)
     texts = narrow(_keyed(docs), "key", spans.select("key").distinct()).join(spans, ["key", "print"])
@@ -246,13 +251,22 @@ def digests(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFram
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
     """docs with repeated windows cut from text: the words left are joined by one space; other texts stay as they are.
-    All rows and columns stay, n_chars (if there) follows the new text."""
-    rows, ranges = repeated_ranges(docs, width, m)
-    whole = rows.where("copy").select("key", "row", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi")).distinct()
-    spans = _spans(rows, ranges.unionByName(whole)).toDF("__quern_key", "__quern_print", "__quern_spans")
+    All rows and columns stay; n_chars (if there) is that of the new text for rows that had something cut."""
+
+    def find() -> DataFrame:
+        rows, ranges = repeated_ranges(docs, width, m)
+        whole = rows.where("copy").select("key", "row", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi")).distinct()
+        return _spans(rows, ranges.unionByName(whole)).toDF("__quern_key", "__quern_print", "__quern_spans")
+
+    spans = settled(find)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    joined = docs.join(spans, (key == F.col("__quern_key")) & (F.xxhash64("text") == F.col("__quern_print")), "left")
-    joined = joined.withColumn("text", F.when(F.col("__quern_spans").isNull(), F.col("text")).otherwise(_cutter(False)("text", key, "__quern_spans")))
+    same = (key == F.col("__quern_key")) & (F.xxhash64("text") == F.col("__quern_print"))
+    changed = spans.select("__quern_key", "__quern_print")
+    if spans.count() <= BROADCAST_IDS:  # other texts stay where they are
+        changed = F.broadcast(changed)
+    clean, cut = docs.join(changed, same, "left_anti"), docs.join(changed, same, "left_semi")
+    joined = cut.join(spans, same).withColumn("text", _cutter(False)("text", key, "__quern_spans"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__quern_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return joined.select(*columns(docs))
+        old = docs.select("n_chars").dtypes[0][1]
+        joined = joined.withColumn("n_chars", F.length("text").cast(old))
+    return clean.unionByName(joined.select(*columns(docs)))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import tidied
+
 LISTS = 2
 QUERIES = 4096
 #: Scores that a task holds at once.
@@ -175,7 +177,7 @@ def _block(spark, candidates: DataFrame, queries: DataFrame, k: int) -> DataFram
     for i, r in enumerate(rows):
         q[i, : len(r[1])] = r[1]
     shared = spark.sparkContext.broadcast((ids, q))
-    gathered = candidates.mapInArrow(_gather(shared, k), "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    gathered = candidates.mapInArrow(tidied(_gather(shared, k)), "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
     cutoffs = {r["query_id"]: r["cutoff"] for r in kth.where(F.col("n") == k).collect()}
@@ -183,7 +185,7 @@ def _block(spark, candidates: DataFrame, queries: DataFrame, k: int) -> DataFram
     known = np.array([i in cutoffs for i in ids.tolist()], bool)
     bounds = spark.sparkContext.broadcast((ids, q, cutoff, known))
     partial = [f"p{i}" for i in range(LISTS)]
-    entries = candidates.mapInArrow(_collect(bounds), ", ".join(["query_id long", "vec_id long", *(f"{p} long" for p in partial), "whole boolean"]))
+    entries = candidates.mapInArrow(tidied(_collect(bounds)), ", ".join(["query_id long", "vec_id long", *(f"{p} long" for p in partial), "whole boolean"]))
     done = entries.where("whole").select("query_id", "vec_id", sum((F.col(p) for p in partial[1:]), F.col(partial[0])).alias("score"))
     exact = F.arrow_udf(_dot, "long")
     asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))  # at most about QUERIES rows

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.quality import held_out, logistic, sample
+from quern.llm.common import make_room
+from quern.llm.quality import held_out, logistic, sample, share_of_ones, shift
 
 #: Common insults, words of reporting, words of address.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "fool", "jerk", "vermin", "imbecile")
@@ -246,7 +247,8 @@ def learn_lexicon(rows: list[tuple[str | None, int]]) -> Lexicon:
     return Lexicon(terms, chosen)
 
 
-def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
+def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> ToxicityModel:
+    """The model of the rows; share is that of label 1 among all labels, of which the rows may hold another."""
     if len({y for _, y in rows}) < 2:
         return ToxicityModel(learn_lexicon([]))
     # a text counts once: copies would make their chance words look telling
@@ -258,17 +260,22 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
         return ToxicityModel(lexicon)
     automaton = Automaton(lexicon)
     x = np.array([features(t, automaton) for t, _ in second])
-    return ToxicityModel(lexicon, tuple(logistic(x, np.array([float(y) for _, y in second]), 1e-4).tolist()))
+    y = np.array([float(y) for _, y in second])
+    weights = logistic(x, y, 1e-4)
+    weights[-1] += shift(y, share)
+    return ToxicityModel(lexicon, tuple(weights.tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> ToxicityModel:
-    return fit(sample(docs, labels, "toxic", held_out(F.col("_id"), HELD_OUT), max_rows, max_bytes))
+    held = held_out(F.col("_id"), HELD_OUT)
+    return fit(sample(docs, labels, "toxic", held, max_rows, max_bytes), share_of_ones(labels, "toxic", held))
 
 
 def scorer(model: ToxicityModel):
     """The score of a text column, as a column function."""
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make_room()
         automaton, w = Automaton(model.lexicon), np.array(model.weights)
         for batch in batches:
             x = np.array([features(t.as_py(), automaton) for t in batch]).reshape(-1, len(NAMES))

@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,8 +62,10 @@ def test_round_trip(text):
 def test_second_best_of_units_as_by_a_star():
     for unit in (" the", " internationalization", "\n", " x▁y", " aaaa", " Straße,", " q"):
         found = MODEL.nbest(unit, 2)
-        best, gap, ids = MODEL.unit(unit)
-        assert best == found[0][0] and gap == (found[0][0] - found[1][0] if len(found) > 1 else math.inf)
+        entry = np.frombuffer(MODEL.unit(unit), np.int32)
+        gap = -entry[:1].view(np.float32)[0]
+        assert entry[0] < 0 and gap == np.float32(found[0][0] - found[1][0] if len(found) > 1 else math.inf)
+        assert MODEL.scores[entry[1:]].sum() == found[0][0] and MODEL.decode([0, *entry[1:].tolist()][1:]) == unit[1:]
 
 
 def test_forgetting_changes_nothing(monkeypatch):

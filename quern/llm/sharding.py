@@ -3,10 +3,13 @@
 Documents with equal texts form a group; its links are the edges to keep inside shards. Law `rows`: the shards' numbers
 of rows differ by one at most.
 
-1. Linked documents (of groups of two or more) start evenly over the shards, in order of their hash.
-2. Round by round, each linked document looks for the shard that holds most of its group and has room left; rows that
-   don't sit there move, as many as the shard's quota takes, those of the largest gain first. Room counts the documents
-   without links as movable, so a shard's quota for linked ones is its whole size.
+1. Linked documents (of groups of two or more) start group by group along the shards, so a shard's end cuts one group at
+   most. They are laid evenly over the shards.
+2. Round by round, the rows of a cut group look for the shard that has room for all of it or
+   else holds most of it; rows that don't sit there move, as many as the shards' quotas take, those of the largest gain
+   first. Room counts the documents without links as movable, so a shard's quota for linked ones is its whole size.
+   Without any room, as when every document has
+   a copy, the groups that the start cut, at most one a shard, stay cut.
 3. Documents without links fill the shards to their exact sizes.
 
 A group is counted by shard, never listed; movers are admitted by counts of gain classes and hash buckets, and all ranks
@@ -18,6 +21,8 @@ repeated doc_ids are rows like any other. Other laws aren't offered, so grown_sh
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +30,7 @@ from quern.llm.common import materialize, ranked, settled
 
 SHARDS = 24
 ROUNDS = 4
-#: Rows of a hash bucket that one task numbers.
+#: Rows of a hash bucket, or of a part of a group, that one task numbers.
 BUCKET = 50_000
 #: Hash buckets of a gain class, in the admission of movers.
 FINE = 64
@@ -54,18 +59,47 @@ def _loads(placed: DataFrame, shards: int) -> list[int]:
     return [counts.get(s, 0) for s in range(shards)]
 
 
+def _pairs(placed: DataFrame):
+    """Pairs of equal documents in the same shard, each counted twice, and rows with themselves."""
+    n = F.col("n").cast("decimal(19,0)")
+    return placed.groupBy("twin", "shard").agg(F.count("*").alias("n")).agg(F.sum(n * n)).collect()[0][0] or 0
+
+
+def _start(linked: DataFrame, shards: int) -> DataFrame:
+    """row (a number of its own) and shard of each linked document, group by group; parts of a group of at most about
+    BUCKET rows, and hash buckets of groups, are numbered by themselves."""
+    sizes = linked.groupBy("twin").agg(F.count("*").alias("n"))
+    count = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    buckets = max(1, -(-count // BUCKET))
+    linked = linked.withColumn("part", F.pmod("spread", F.ceil(F.col("members") / BUCKET)).cast("int"))
+    bucket = F.pmod(F.xxhash64("twin"), F.lit(buckets)).cast("int")
+    parts = linked.groupBy("twin", "members", "part").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
+    sums = parts.groupBy("bucket").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("bucket").orderBy("twin", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(sums), "bucket").select("twin", "part", (F.col("base") + F.col("inside")).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("twin", "part").orderBy("spread", "doc_id")) - 1
+    linked = linked.withColumn("rank", rank).join(parts, ["twin", "part"]).withColumn("row", F.col("start") + F.col("rank"))
+    bounds = list(itertools.accumulate(_quota(count, shards)))
+    return linked.withColumn("shard", F.size(F.filter(_literal(bounds), lambda b: b <= F.col("row")))).drop("part", "rank", "start")
+
+
 def _round(placed: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame, bool]:
-    """One round of moves; placed has row columns, twin, spread (a hash) and shard."""
+    """One round of moves; placed has row columns, twin, members (of the group), spread (a hash) and shard."""
+    least = max(1, quota[-1])
     room = [q - n for q, n in zip(quota, _loads(placed, shards), strict=True)]
-    there = placed.groupBy("twin", "shard").agg(F.count("*").alias("n"))
-    # a group's goal is the shard of most of its members among those with room; none if all its shards are full
-    ranked_by = F.struct("n", (-F.col("shard")).alias("s"))
-    goals = there.where(F.element_at(_literal(room), F.col("shard") + 1) > 0).groupBy("twin").agg(F.max(ranked_by).alias("goal"))
-    goals = goals.select("twin", F.col("goal.n").alias("goal_n"), (-F.col("goal.s")).alias("goal"))
-    here = there.join(goals, "twin").where("shard <> goal and goal_n >= n")
-    movers = here.select("twin", "shard", "goal", (F.col("goal_n") - F.col("n")).alias("gain"), "n")
+    there = placed.groupBy("twin", "members", "shard").agg(F.count("*").alias("n")).where("n < members")
+    there = there.withColumn("room", F.element_at(_literal(room), F.col("shard") + 1)).withColumn("fits", F.col("room") >= F.col("members") - F.col("n"))
+    # a group's goals: as many shards as it needs, those with room for all of it first, then those of most of its members
+    goals_first = Window.partitionBy("twin").orderBy(F.desc("fits"), F.desc(F.when(F.col("members") <= least, F.col("room") > 0)), F.desc("n"), "shard")
+    there = there.withColumn("goals", F.lit(1)).withColumn("place", F.row_number().over(goals_first))
+    open_ = there.where("place <= goals and room > 0").groupBy("twin").agg(F.sort_array(F.collect_list("shard")).alias("open"), F.max("n").alias("goal_n"), F.max("fits").alias("whole"))
+    here = there.where("place > goals").join(open_, "twin").where("whole or goal_n >= n or goals > 1")
+    movers = here.select("twin", "shard", "open", (F.col("goal_n") - F.col("n")).alias("gain"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    wanted = placed.withColumn("salt", F.pmod("spread", F.lit(16)).cast("int")).join(movers.withColumn("salt", salts).drop("n"), ["twin", "shard", "salt"])
+    wanted = placed.withColumn("salt", F.pmod("spread", F.lit(16)).cast("int")).join(movers.withColumn("salt", salts), ["twin", "shard", "salt"])
+    wanted = wanted.withColumn("goal", F.element_at("open", F.pmod(F.shiftright("spread", 20), F.size("open")).cast("int") + 1)).drop("open")
     classes = F.when(F.col("gain") > 0, F.floor(F.log2(F.col("gain").cast("double"))) + 1).otherwise(F.lit(0)).cast("int")
     wanted = materialize(wanted.withColumn("place", (F.lit(64) - classes) * FINE + F.pmod(F.shiftright("spread", 8), F.lit(FINE)).cast("int")).drop("salt", "gain"))
     if wanted.isEmpty():
@@ -83,32 +117,36 @@ def _round(placed: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame,
     return materialize(moved), True
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text)."""
-    return settled(lambda: _shard(docs, shards, rounds))
+    return settled(lambda: _shard(docs, shards))
 
 
-def _shard(docs: DataFrame, shards: int, rounds: int) -> DataFrame:
+def _shard(docs: DataFrame, shards: int) -> DataFrame:
     base = materialize(described(docs))
     total = base.count()
     quota = _quota(total, shards)
     buckets = max(1, -(-total // BUCKET))
-    groups = base.groupBy("twin").agg(F.count("*").alias("members")).where("members > 1").select("twin")
+    groups = base.groupBy("twin").agg(F.count("*").alias("members")).where("members > 1")
     base = base.join(groups.withColumn("linked", F.lit(True)), "twin", "left").withColumn("spread", F.xxhash64(F.lit(7), "doc_id", "twin"))
     # numbers of their own for all rows, linked ones before others
     base = ranked(base.withColumn("linked", F.coalesce("linked", F.lit(False))), ["linked"], ["spread", "doc_id", "size"], "number", buckets, "spread")
     base = materialize(base)
-    placed = base.where("linked").select(F.col("number").alias("row"), "doc_id", "twin", "spread", F.pmod("number", F.lit(shards)).cast("int").alias("shard"))
-    for _ in range(rounds):
-        placed, went_on = _round(placed, quota, shards)
+    linked = _start(base.where("linked").drop("number"), shards)
+    placed = materialize(linked.select("row", "doc_id", "size", "text_crc32", "twin", "members", "spread", "shard"))
+    kept, went_on = _pairs(placed), True
+    for _ in range(ROUNDS):
+        moved, went_on = _round(placed, quota, shards)
+        went_on = went_on and (pairs := _pairs(moved)) > kept
         if not went_on:
             break
+        placed, kept = moved, pairs
     loads = _loads(placed, shards)
     bounds, at = [], 0
     for q, n in zip(quota, loads, strict=True):
         at += q - n
         bounds.append(at)
-    linked = base.where("linked").join(placed.select(F.col("row").alias("number"), "shard"), "number").select("doc_id", "size", "text_crc32", "spread", "shard")
+    linked = placed.select("doc_id", "size", "text_crc32", "spread", "shard")
     free = base.where("not linked").select("doc_id", "size", "text_crc32", "spread", F.size(F.filter(_literal(bounds), lambda b: b <= F.col("number"))).alias("shard"))
     whole = ranked(linked.unionByName(free), ["shard"], ["spread", "doc_id", "size"], "slot", buckets, "spread")
     return whole.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

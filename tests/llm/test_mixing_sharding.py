@@ -102,3 +102,23 @@ def test_groups_stay_together_as_far_as_quotas_allow(spark):
     assert len(where["hot"]) <= 4 and max(where["hot"].values()) >= 200  # 500 of 1500 rows, 250 a shard
     again = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), shards=6).collect()
     assert sorted(again) == sorted(rows)
+
+
+def kept_pairs(spark, texts, shards):
+    """Pairs of equal texts in one shard, and all pairs of equal texts, by text."""
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=shards).collect()
+    check_law(rows, shards)
+    where = defaultdict(Counter)
+    for r in rows:
+        where[texts[r["doc_id"]]][r["shard"]] += 1
+    pairs = lambda n: n * (n - 1) // 2
+    return {t: (sum(pairs(n) for n in c.values()), pairs(sum(c.values()))) for t, c in where.items()}
+
+
+def test_groups_stay_together_when_all_rows_have_copies(spark):
+    rng = random.Random(5)
+    texts = [f"group {g}" for g in range(900) for _ in range(rng.randint(2, 9))]
+    rng.shuffle(texts)
+    kept = kept_pairs(spark, texts, 24)
+    assert sum(a < b for a, b in kept.values()) <= 23  # a group at most at each end of a shard
+    assert sum(a for a, _ in kept.values()) > 0.97 * sum(b for _, b in kept.values())

@@ -4,11 +4,11 @@ Documents with equal texts form a group; its links are the edges to keep inside
 of rows differ by one at most.
 
 1. Linked documents (of groups of two or more) start group by group along the shards, so a shard's end cuts one group at
-   most. They are laid evenly over the shards.
-2. Round by round, the rows of a cut group look for the shard that has room for all of it or
-   else holds most of it; rows that don't sit there move, as many as the shards' quotas take, those of the largest gain
+   most. Groups as large as a shard come first and fill whole shards; the others are laid evenly over the shards left.
+2. Round by round, the rows of a cut group look for the shards, as many as its size needs, that have room for all of it or
+   else hold most of it; rows that don't sit there move, as many as the shards' quotas take, those of the largest gain
    first. Room counts the documents without links as movable, so a shard's quota for linked ones is its whole size.
-   Without any room, as when every document has
+   Rounds go on until one keeps no more pairs of equal documents together. Without any room, as when every document has
    a copy, the groups that the start cut, at most one a shard, stay cut.
 3. Documents without links fill the shards to their exact sizes.
 
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialize, ranked, settled
 
 SHARDS = 24
-ROUNDS = 4
 #: Rows of a hash bucket, or of a part of a group, that one task numbers.
 BUCKET = 50_000
 #: Hash buckets of a gain class, in the admission of movers.
@@ -65,14 +64,15 @@ def _pairs(placed: DataFrame):
     return placed.groupBy("twin", "shard").agg(F.count("*").alias("n")).agg(F.sum(n * n)).collect()[0][0] or 0
 
 
-def _start(linked: DataFrame, shards: int) -> DataFrame:
+def _start(linked: DataFrame, quota: list[int], shards: int) -> DataFrame:
     """row (a number of its own) and shard of each linked document, group by group; parts of a group of at most about
     BUCKET rows, and hash buckets of groups, are numbered by themselves."""
+    least = max(1, quota[-1])
     sizes = linked.groupBy("twin").agg(F.count("*").alias("n"))
-    count = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    count, hot = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") >= least, F.col("n"))), F.lit(0))).collect()[0]
     buckets = max(1, -(-count // BUCKET))
     linked = linked.withColumn("part", F.pmod("spread", F.ceil(F.col("members") / BUCKET)).cast("int"))
-    bucket = F.pmod(F.xxhash64("twin"), F.lit(buckets)).cast("int")
+    bucket = F.when(F.col("members") >= least, F.lit(-1)).otherwise(F.pmod(F.xxhash64("twin"), F.lit(buckets)).cast("int"))
     parts = linked.groupBy("twin", "members", "part").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
     sums = parts.groupBy("bucket").agg(F.sum("n").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +81,11 @@ def _start(linked: DataFrame, shards: int) -> DataFrame:
     parts = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(sums), "bucket").select("twin", "part", (F.col("base") + F.col("inside")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("twin", "part").orderBy("spread", "doc_id")) - 1
     linked = linked.withColumn("rank", rank).join(parts, ["twin", "part"]).withColumn("row", F.col("start") + F.col("rank"))
-    bounds = list(itertools.accumulate(_quota(count, shards)))
+    full, filled = 0, 0
+    while full < shards and filled + quota[full] <= hot:
+        filled += quota[full]
+        full += 1
+    bounds = list(itertools.accumulate(quota[:full] + (_quota(count - filled, shards - full) if full < shards else [])))
     return linked.withColumn("shard", F.size(F.filter(_literal(bounds), lambda b: b <= F.col("row")))).drop("part", "rank", "start")
 
 
@@ -93,7 +97,7 @@ def _round(placed: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame,
     there = there.withColumn("room", F.element_at(_literal(room), F.col("shard") + 1)).withColumn("fits", F.col("room") >= F.col("members") - F.col("n"))
     # a group's goals: as many shards as it needs, those with room for all of it first, then those of most of its members
     goals_first = Window.partitionBy("twin").orderBy(F.desc("fits"), F.desc(F.when(F.col("members") <= least, F.col("room") > 0)), F.desc("n"), "shard")
-    there = there.withColumn("goals", F.lit(1)).withColumn("place", F.row_number().over(goals_first))
+    there = there.withColumn("goals", F.ceil(F.col("members") / least).cast("int")).withColumn("place", F.row_number().over(goals_first))
     open_ = there.where("place <= goals and room > 0").groupBy("twin").agg(F.sort_array(F.collect_list("shard")).alias("open"), F.max("n").alias("goal_n"), F.max("fits").alias("whole"))
     here = there.where("place > goals").join(open_, "twin").where("whole or goal_n >= n or goals > 1")
     movers = here.select("twin", "shard", "open", (F.col("goal_n") - F.col("n")).alias("gain"))
@@ -132,15 +136,14 @@ def _shard(docs: DataFrame, shards: int) -> DataFrame:
     # numbers of their own for all rows, linked ones before others
     base = ranked(base.withColumn("linked", F.coalesce("linked", F.lit(False))), ["linked"], ["spread", "doc_id", "size"], "number", buckets, "spread")
     base = materialize(base)
-    linked = _start(base.where("linked").drop("number"), shards)
+    linked = _start(base.where("linked").drop("number"), quota, shards)
     placed = materialize(linked.select("row", "doc_id", "size", "text_crc32", "twin", "members", "spread", "shard"))
     kept, went_on = _pairs(placed), True
-    for _ in range(ROUNDS):
+    while went_on:
         moved, went_on = _round(placed, quota, shards)
         went_on = went_on and (pairs := _pairs(moved)) > kept
-        if not went_on:
-            break
-        placed, kept = moved, pairs
+        if went_on:
+            placed, kept = moved, pairs
     loads = _loads(placed, shards)
     bounds, at = [], 0
     for q, n in zip(quota, loads, strict=True):

@@ -122,3 +122,14 @@ def test_groups_stay_together_when_all_rows_have_copies(spark):
     kept = kept_pairs(spark, texts, 24)
     assert sum(a < b for a, b in kept.values()) <= 23  # a group at most at each end of a shard
     assert sum(a for a, _ in kept.values()) > 0.97 * sum(b for _, b in kept.values())
+
+
+def test_a_group_of_a_third_of_all_rows_fills_whole_shards(spark):
+    rng = random.Random(6)
+    texts = ["hot"] * 1600 + [f"group {g}" for g in range(300) for _ in range(rng.randint(2, 9))]
+    texts += [f"single {i}" for i in range(4800 - len(texts))]
+    rng.shuffle(texts)
+    kept = kept_pairs(spark, texts, 24)
+    hot, others = kept.pop("hot"), list(kept.values())
+    assert hot[0] >= 8 * (200 * 199 // 2)  # 8 shards of 200 rows, as many as there can be
+    assert sum(a for a, _ in others) == sum(b for _, b in others)

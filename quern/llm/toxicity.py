@@ -4,8 +4,9 @@ The lexicon is a short list of common insults and the terms that labelled text t
 that are far more frequent in toxic documents. The automaton that accepts every term with up to so many edits is
 intersected with the trie of the terms: its states are sets of (trie node, edits so far), made when a word first needs
 them and kept, so a word costs one step a character and ends early where no term can be reached. Short terms allow no
-edit, terms of 5 letters one, listed ones of 8 letters two; a term whose misspellings turn up in harmless labelled text as often as
-in toxic text is taken as it stands.
+edit, terms of 5 letters one, listed ones of 8 letters two. Words that come as near to a term but turn up in harmless labelled text, a
+quarter as often as in toxic text or more, are harmless words of their own and no misspellings; all others stay within
+the term's reach.
 
 A hit's window of words says how it is used: quotation marks and words of reporting count as quotation; address to a
 reader, exclamation and further hits count as abuse. Sums over the hits of a document go through a logistic calibration.
@@ -57,10 +58,11 @@ def edits(term: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Terms with their weights and edits, and beginnings of words (taken as they stand)."""
+    """Terms with their weights and edits, beginnings of words (taken as they stand), and words that are no misspellings."""
 
     terms: dict[str, tuple[float, int]]
     stems: dict[str, float] = field(default_factory=dict)
+    harmless: frozenset[str] = frozenset()
 
 
 class Automaton:
@@ -75,6 +77,7 @@ class Automaton:
             self.term[self._insert(word, most)] = (weight, most)
         for word, weight in lexicon.stems.items():
             self.stem[self._insert(word, 0)] = weight
+        self.harmless = lexicon.harmless
         self._reset()
         self.words: dict[str, tuple[float, int] | None] = {}
 
@@ -146,6 +149,8 @@ class Automaton:
             if state < 0:
                 break
         found = self.accepts[state] if state >= 0 else None
+        if found and found[1] and word in self.harmless:
+            found = None
         if found is None:
             node = 0
             for c in word:
@@ -237,14 +242,12 @@ def learn_lexicon(rows: list[tuple[str | None, int]]) -> Lexicon:
     for g, odds, s in scored:
         if g >= least and odds >= ODDS and not any(s.startswith(c) or c.startswith(s) for c in chosen):
             chosen[s] = odds
-    # terms whose misspellings are as frequent in harmless text stand as they are
-    for term, (weight, most) in sorted(terms.items()):
-        if most:
-            single = Automaton(Lexicon({term: (1.0, most)}))
-            seen = [sum(k for w, k in words[y].items() if abs(len(w) - len(term)) <= most and w not in terms and single.match(w)) / (n[y] + 1) for y in (0, 1)]
-            if seen[0] and seen[0] * 4 > seen[1]:
-                terms[term] = (weight, 0)
-    return Lexicon(terms, chosen)
+    # words near a term that are as frequent in harmless text are no misspellings of it
+    automaton = Automaton(Lexicon({w: t for w, t in terms.items() if t[1]}))
+    lengths = {len(w) + k for w, (_, most) in terms.items() if most for k in range(-most, most + 1)}
+    near = (w for w in sorted(words[0]) if len(w) in lengths and w not in terms and automaton.match(w))
+    harmless = frozenset(w for w in near if words[0][w] / (n[0] + 1) * 4 > words[1][w] / (n[1] + 1))
+    return Lexicon(terms, chosen, harmless)
 
 
 def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> ToxicityModel:

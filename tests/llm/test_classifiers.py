@@ -109,3 +109,13 @@ def test_quotation_and_abuse_are_told_apart():
     assert quote["quoted"] > 0 == quote["abusive"] and abuse["abusive"] > 0 == abuse["quoted"] and abuse["misspelled"] == 0 < abuse["exact"]
     assert automaton.match("blorfing") == (3.0, 0) and automaton.match("idiots") == (2.0, 1) and automaton.match("idle") is None
     assert toxicity.features(None, automaton) == [0.0] * len(names) == toxicity.features("", automaton)
+
+
+def test_a_harmless_word_near_a_term_leaves_its_misspellings():
+    rng = random.Random(9)
+    toxic = [clean(rng, 20) + f" you {rng.choice(('moron', 'idiot', 'pathetic'))} !" for _ in range(100)]
+    harmless = [clean(rng, 20) + (" oron" if i % 2 else " idiom" if i % 3 else " atheti") for i in range(100)]
+    automaton = toxicity.Automaton(toxicity.learn_lexicon([(t, 1) for t in toxic] + [(t, 0) for t in harmless]))
+    for word, e in {"moron": 0, "moran": 1, "morron": 1, "idot": 1, "pathetik": 1, "oron": None, "idiom": None, "atheti": None}.items():
+        found = automaton.match(word)
+        assert (found and found[1]) == e, word

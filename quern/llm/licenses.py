@@ -5,6 +5,9 @@ Units of a text are its lines, its paragraphs (between blank lines) and the whol
 compared with the templates. Terms weigh tf * idf, with idf = ln((1 + N) / (1 + df)) + 1 counted over all N texts; df is
 counted for the templates' terms, any other term counts as one of a single text. A text whose line or paragraph reaches
 the threshold has that header's licence; a text that reaches it as a whole is a licence file and stands for its folder.
+Wholes are also compared with full licence texts (licence_texts), terms weighing (1 + ln tf) * idf with idf counted over
+the texts that have an anchor, so that neither common words nor length decide; one that reaches FULL is that licence's
+file, whatever headers it quotes. A line that reserves all rights counts only where nothing else reaches the threshold.
 A text without a licence of its own takes that of the nearest folder above it that has a licence file.
 
 Only the templates' terms (fixed, a few hundred) are broadcast. Texts are scanned once for df and once for their units;
@@ -18,6 +21,7 @@ smaller licence name. Repeated rows are separate files. Extra columns take no pa
 from __future__ import annotations
 
 import math
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +56,23 @@ TEMPLATES = (
 ANCHOR = r"(?i)licen[sc]e|copyright|rights reserved|spdx|creative commons|public domain|redistribution|hereby granted|mozilla|cc0"
 TERM = r"[a-z0-9]+(\.[0-9]+)*"
 THRESHOLD = 0.6
+#: The cosine from which a whole text is a copy of a full licence; other versions of a licence stay below, other holders above.
+FULL = 0.85
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def _templates(spark) -> DataFrame:
+def full_texts() -> list[tuple[str, str]]:
+    """Licences and their full texts, by name."""
+    files = (f for f in resources.files("quern.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt"))
+    return sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files)
+
+
+def _templates(spark, texts: tuple | list = TEMPLATES) -> DataFrame:
     """template, license, term, tf."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
+    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "template int, license string, text string")
     return rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
@@ -104,6 +116,26 @@ def matches(held: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return best.join(size, unit).select("file", "kind", "license", F.least(F.col("dot") / F.col("size"), F.lit(1.0)).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
+def full_matches(held: DataFrame, threshold: float = FULL) -> DataFrame:
+    """file, kind, license, cosine: the best full licence text of each whole of held (file, text) that reaches the threshold."""
+    damped = lambda df: df.withColumn("tf", 1 + F.log("tf"))
+    templates = materialize(damped(_templates(held.sparkSession, full_texts())))
+    bags = materialize(damped(held.where(F.col("text").rlike(ANCHOR)).select("file", F.explode(terms(F.col("text"))).alias("term")).groupBy("file", "term").agg(F.count("*").alias("tf"))))
+    n = bags.select("file").distinct().count()
+    vocabulary = templates.select("term").distinct()
+    df = bags.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    known = materialize(vocabulary.join(df, "term", "left").select("term", (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")))
+    weighted = templates.join(F.broadcast(known), "term").withColumn("weight", F.col("tf") * F.col("idf"))
+    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    weighted = weighted.join(F.broadcast(norms), "template").select("license", "term", (F.col("weight") / F.col("norm")).alias("part"))
+    by_license = weighted.groupBy("term").agg(F.collect_list(F.struct("license", "part")).alias("parts"))
+    heavy = bags.join(F.broadcast(by_license.join(known, "term")), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(math.log((n + 1) / 2) + 1)))
+    size = heavy.groupBy("file").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
+    dots = heavy.select("file", "weight", F.explode("parts").alias("p")).groupBy("file", F.col("p.license").alias("license")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("dot"))
+    best = dots.groupBy("file").agg(F.max("dot").alias("dot"), F.min_by("license", F.struct(-F.round("dot", 9), "license")).alias("license"))
+    return best.join(size, "file").select("file", F.lit("full").alias("kind"), "license", F.least(F.col("dot") / F.col("size"), F.lit(1.0)).alias("cosine")).where(F.col("cosine") >= threshold)
+
+
 def ancestors(folder: Column) -> Column:
     """The folder and all above it, the nearest first; the root is ''."""
     parts = F.split(folder, "/")
@@ -121,10 +153,12 @@ def _scan(files: DataFrame, threshold: float) -> DataFrame:
     # only texts with an anchor are written
     anchored = F.when(F.col("text").rlike(ANCHOR), F.col("text")).alias("text")
     named = materialize(files.select(F.coalesce("path", F.lit("_")).alias("path"), anchored).withColumn("file", F.monotonically_increasing_id()))
-    found = materialize(matches(named.where("text is not null").select("file", "text"), files.select("text"), threshold))
-    pick = lambda kinds: found.where(F.col("kind").isin(*kinds)).groupBy("file").agg(F.max("cosine").alias("cosine"), F.min_by("license", F.struct(-F.round("cosine", 9), "license")).alias("license"))
-    own = pick(("line", "paragraph", "whole")).select("file", F.col("license").alias("own_license"), F.col("cosine").alias("own_cosine"))
-    whole = pick(("whole",)).select("file", F.col("license").alias("file_license"), F.col("cosine").alias("file_cosine"))
+    held = named.where("text is not null").select("file", "text")
+    found = materialize(matches(held, files.select("text"), threshold).unionByName(full_matches(held)))
+    rank = F.struct(F.col("kind") != "full", F.col("license") == "Proprietary", -F.round("cosine", 9), "license")
+    pick = lambda kinds: found.where(F.col("kind").isin(*kinds)).groupBy("file").agg(F.min_by("cosine", rank).alias("cosine"), F.min_by("license", rank).alias("license"))
+    own = pick(("line", "paragraph", "whole", "full")).select("file", F.col("license").alias("own_license"), F.col("cosine").alias("own_cosine"))
+    whole = pick(("whole", "full")).select("file", F.col("license").alias("file_license"), F.col("cosine").alias("file_cosine"))
     rows = named.select("file", "path").withColumn("folder", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("")))
     rows = materialize(rows.join(own, "file", "left").join(whole, "file", "left"))
     order = F.struct(-F.round("file_cosine", 9), "file_license")

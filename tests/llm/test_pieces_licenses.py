@@ -139,3 +139,19 @@ def test_odd_documents_are_scanned(odd, nothing):
 def test_the_plan_is_native(odd):
     licenses.scan_documents(odd)
     assert "Python" not in licenses.scan_documents(odd.select("*", F.lit(1).alias("file")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_licence_texts_stand_for_their_folders(spark):
+    full = dict(licenses.full_texts())
+    bsd = full["BSD-3-Clause"].replace("The Regents of the University of California", "Jane Doe").replace("the Regents of the University of California", "Acme")
+    assert bsd != full["BSD-3-Clause"] and "All rights reserved." in bsd
+    files = {**full, "BSD-3-Clause": bsd, "MIT": full["MIT"].replace("<year> <copyright holders>", "2020 Jane Doe")}
+    rows = [(f"{name}/LICENSE", text) for name, text in files.items()] + [(f"{name}/src/x.py", "code") for name in files]
+    rows += [("own/x.py", "# All rights reserved.\n# Licensed under CC BY 4.0.\n"), ("own/y.py", "# All rights reserved.\n" + "code " * 50)]
+    rows += [(f"prose/{i}", "the license of the people and of the words in it that you may have for a work or any other " * 20) for i in range(5)]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in files:
+        assert (got[f"{name}/LICENSE"]["license"], got[f"{name}/LICENSE"]["license_file"]) == (name, True)
+        assert (got[f"{name}/src/x.py"]["license"], got[f"{name}/src/x.py"]["inherited_from"]) == (name, name)
+    assert got["own/x.py"]["license"] == "CC-BY-4.0" and got["own/y.py"]["license"] == "Proprietary"
+    assert not any(got[f"prose/{i}"]["license_file"] for i in range(5))

@@ -11,6 +11,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextvars import ContextVar
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,46 +24,83 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A null id sorts after all others.
 LAST = 2**63 - 1
-#: Ids up to this count (16 MB as longs, about 60 MB as a hash relation) may be broadcast; beyond it a join shuffles.
-BROADCAST_IDS = 1_000_000
+#: A table whose values, with 32 bytes a row for the hash table, come to so many bytes may be broadcast; beyond it a join shuffles.
+BROADCAST_BYTES = 48 << 20
+#: Bytes of the Arrow batches that go to Python workers; Spark's own default is made for larger executors.
+ARROW_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder; a folder of its own only where none is set, as in tests."""
+    """A new path in the shared checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quern/{uuid.uuid4().hex}"
 
 
-#: Scratch tables of the scopes that are open, innermost last.
-_scopes: list[list[str]] = []
+#: Scratch tables of the innermost open scope; a thread has scopes of its own.
+_scope: ContextVar[list[str] | None] = ContextVar("quern_scope", default=None)
+#: Python broadcasts of the innermost open scope.
+_shared: ContextVar[list | None] = ContextVar("quern_shared", default=None)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again."""
+    bound_arrow(df.sparkSession)
     path = scratch(df.sparkSession)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """The rows of make(), written; the scratch tables that it wrote on the way are deleted."""
-    _scopes.append([])
+def settled(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The rows of make(), written; the scratch tables and broadcasts made on the way are deleted, also if it fails."""
+    outer, outer_shared = _scope.set(inner := []), _shared.set(lent := [])
     try:
         df = make()
+        _scope.reset(outer)
+        return materialize(df)
     finally:
-        inner = _scopes.pop()
-    out, spark = materialize(df), df.sparkSession
-    for path in inner:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if _scope.get() is inner:
+            _scope.reset(outer)
+        _shared.reset(outer_shared)
+        for value in lent:
+            value.destroy()
+        for path in inner:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def share(spark: SparkSession, value):
+    """A broadcast of value for Python workers, destroyed with the innermost scope."""
+    out = spark.sparkContext.broadcast(value)
+    if (lent := _shared.get()) is not None:
+        lent.append(out)
     return out
 
 
+def bound_arrow(spark: SparkSession) -> None:
+    """Lowers the session's size of Arrow batches to ARROW_BYTES; one larger row still makes a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its measured size is within BROADCAST_BYTES. df should be a written table."""
+    width = F.lit(32)
+    for name, kind in df.dtypes:
+        c = F.col("`" + name.replace("`", "``") + "`")
+        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 8 if kind.startswith("array") else F.lit(8))
+    size = df.agg(F.sum(width.cast("long"))).collect()[0][0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of df, whatever their names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -70,8 +108,7 @@ def columns(df: DataFrame) -> list[Column]:
 
 def narrow(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose key is among ids (one column of that name, distinct), by a broadcast of checked size or a shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(bounded(ids), key, "left_semi")
 
 
 def ranked(df: DataFrame, part: list[str], order: list[str | Column], name: str, buckets: int, hashed: str) -> DataFrame:
@@ -106,8 +143,11 @@ def keep_until_others(name: str, clear: Callable[[], None]) -> None:
 
 def make_room(name: str = "") -> None:
     """Clears what other operators have kept in this worker."""
-    for other in [k for k in _caches if k != name]:
+    others = [k for k in _caches if k != name]
+    for other in others:
         _caches.pop(other)()
+    if others:
+        trim()
 
 
 def tidied(f: Callable) -> Callable:
@@ -115,14 +155,39 @@ def tidied(f: Callable) -> Callable:
 
     def run(batches):
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
     return run
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_column(f: Callable[..., pa.Array], kind: str, inputs: int = 1) -> Callable[..., Column]:
+    """A column function of so many inputs from f, a function of Arrow arrays, tidied; f sees slices of at most about
+    a megabyte of its first input."""
+
+    def slices(arrays: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+        step = max(1, int(len(arrays[0]) * (1 << 20) / max(1, arrays[0].nbytes)))
+        for at in range(0, max(1, len(arrays[0])), step):
+            yield tuple(a.slice(at, step) for a in arrays)
+
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = [f(*part) for part in slices((batch,) if inputs == 1 else tuple(batch))]
+            yield pa.concat_arrays(out) if len(out) > 1 else out[0]
+        trim()
+
+    several = tuple.__class_getitem__((pa.Array,) * inputs)
+    run.__annotations__ = {"batches": Iterator[pa.Array if inputs == 1 else several], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Hashes of words, by numpy over whole buffers
 
@@ -130,7 +195,7 @@ _SEED = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 2**64)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

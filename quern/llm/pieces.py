@@ -2,7 +2,10 @@
 backward A-star search over the piece lattice.
 
 The pieces and their scores come from a SentencePiece model file; a segmentation's score is the sum of its pieces' scores.
-(For a model of merge type the scores are merge ranks, so the best sum need not be the merge order's result.) As the
+A model of merge type has merge ranks in place of scores, and ranks can't be summed: three frequent pieces of low rank
+would beat the whole word. A piece of rank r then scores -(PIECE_COST + ln(2 + r)), as if its frequency fell with the rank
+by Zipf's law, with a cost for each piece; so few and early pieces win, which is near what merging does. The best
+segmentation need not be the merge order's (the README has how often it is). Scores are rounded to multiples of 1 / STEPS, so that sums and ties are exact. As the
 library does, a text gets a blank in front and blanks become word marks; a character without a piece falls back to its
 UTF-8 bytes, at a score below all pieces. A word mark that stands in the text itself is also encoded by its bytes, so
 that decoding gives back every text exactly.
@@ -16,6 +19,7 @@ Defined results: a null text has null ids and an empty text none; repeated rows
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import insort
 from collections.abc import Iterator
@@ -27,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import batches_of_bytes, keep_until_others, make_room
+from quern.llm.common import arrow_column, batches_of_bytes, bound_arrow, keep_until_others, make_room, share, tidied
 
 MARK = "▁"
 NBEST = 4
-#: Units of each of a worker's two generations of remembered units, together about 150 MB.
-CACHED = 350_000
+#: What a piece of a merge model costs beside its rank's logarithm, and the parts of one that scores are multiples of.
+PIECE_COST, STEPS = 6.0, 1024
+#: Bytes of each of a worker's two generations of remembered units, as `weigh` counts them.
+CACHED = 32 << 20
 _NONE = float("-inf")
 
 
@@ -45,6 +51,24 @@ def _unit_pattern(pieces: dict[str, tuple[int, float]]) -> str:
     return f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +"
 
 
+#: Where pieces of the best segmentation give way to others: the first one's place, how many, and the ids instead.
+Change = tuple[int, int, list[int]]
+
+
+def changed(ids: list[int], changes: list[Change]) -> list[int]:
+    """ids after the changes, which are in order."""
+    out, at = [], 0
+    for place, n, others in changes:
+        out += [*ids[at:place], *others]
+        at = place + n
+    return out + ids[at:]
+
+
+def weigh(unit: str, entry: bytes) -> int:
+    """Bytes that a remembered unit takes, with its place in the dictionary."""
+    return 2 * len(unit) + len(entry) + 190
+
+
 class PieceModel:
     """Pieces, scores and byte pieces of a model file's bytes."""
 
@@ -66,18 +90,23 @@ class PieceModel:
                 text = piece.replace(MARK, " ")
                 self.pieces[text] = (i, sp.get_score(i))
                 self.bytes[i] = text.encode()
+        ranks = {s for _, s in self.pieces.values() if s > -1e8}
+        if len(ranks) > 1 and all(s <= 0 and s.is_integer() for s in ranks):  # merge ranks, negated
+            worst = min(ranks)
+            self.pieces = {p: (i, -(PIECE_COST + math.log(2 - max(s, worst)))) for p, (i, s) in self.pieces.items()}
+        self.pieces = {p: (i, round(s * STEPS) / STEPS) for p, (i, s) in self.pieces.items()}
         self.longest = max(map(len, self.pieces), default=1)
-        self.penalty = min((s for _, s in self.pieces.values() if s > -1e8), default=0.0) - 10.0
+        self.penalty = min((s for _, s in self.pieces.values()), default=0.0) - 10.0
         # the score that an id adds to a segmentation: bytes and the unknown piece come from fallback only
         self.scores = np.full(self.size, self.penalty)
         for i, score in self.pieces.values():
             self.scores[i] = score
-        self.integral = all(x.is_integer() for _, x in self.pieces.values()) and float(self.penalty).is_integer()
         self.units = re.compile(_unit_pattern(self.pieces))
         # pieces, and False for what only begins a piece
         self.table: dict = {p[:i]: False for p in self.pieces for i in range(1, len(p))} | self.pieces
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def fallback(self, char: str) -> tuple[int, ...]:
         ids = tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -176,8 +205,9 @@ class PieceModel:
 
     def remember(self, unit: str, entry: bytes) -> None:
         """Two generations: when the younger is full it becomes the older, and what was in that is forgotten."""
-        if len(self.cache) >= CACHED:
-            self.older, self.cache = self.cache, {}
+        self.held += weigh(unit, entry)
+        if self.held > CACHED:
+            self.older, self.cache, self.held = self.cache, {}, weigh(unit, entry)
         self.cache[unit] = entry
 
     def seen(self, unit: str) -> bytes:
@@ -187,35 +217,37 @@ class PieceModel:
         self.remember(unit, entry)
         return entry
 
-    def encode(self, text: str, n: int = NBEST) -> tuple[np.ndarray, list[tuple[float, dict[int, tuple[int, ...]]]], list[str]]:
-        """Ids of the best segmentation; the n best as score and the units that differ from the best; the units."""
+    def encode(self, text: str, n: int = NBEST) -> tuple[np.ndarray, list[tuple[float, list[Change]]]]:
+        """Ids of the best segmentation, and the n best, each as its score and its changes to the best (see Change)."""
         units = self.units.findall(" " + text) if text else []
         seen = self.seen  # the cache may be another dict after it
         flat = np.frombuffer(b"".join([self.cache.get(u) or seen(u) for u in units]), np.int32)
         ids = flat[flat >= 0]
         total = float(self.scores[ids].sum())
         ways: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
-        if n > 1 and units:
-            cost = -flat[flat < 0].view(np.float32)
-            bound = np.partition(cost, min(n - 2, len(cost) - 1))[min(n - 2, len(cost) - 1)]
-            if self.integral and bound < 2**24:  # such costs are exact as floats
-                near = np.argsort(cost, kind="stable")[: n - 1].tolist()
-            else:  # costs are rounded: near the bound the exact ones decide
-                near = np.flatnonzero((cost <= bound * (1 + 1e-6)) & np.isfinite(cost)).tolist()
-            near = [p for p in near if np.isfinite(cost[p])]
-            best = {u: self.nbest(u, n) for u in {units[p] for p in near}}
-            exact = sorted((best[units[p]][0][0] - best[units[p]][1][0], p) for p in near)[: n - 1]
-            for p in sorted(p for _, p in exact):
-                found = best[units[p]]
-                others = [(found[0][0] - s, x) for s, x in found[1:]]
-                ways = sorted([*ways, *((c + d, w | {p: x}) for c, w in ways for d, x in others)], key=lambda w: w[0])[:n]
-        return ids, [(total - c, w) for c, w in ways], units
+        if n == 1 or not units:
+            return ids, [(total, [])]
+        heads = np.flatnonzero(flat < 0)  # an entry a unit, before the unit's ids
+        cost = -flat[heads].view(np.float32)
+        bound = np.partition(cost, min(n - 2, len(cost) - 1))[min(n - 2, len(cost) - 1)]
+        if bound < 2**24 / STEPS:  # such costs are exact as floats
+            near = np.argsort(cost, kind="stable")[: n - 1].tolist()
+        else:  # costs are rounded: near the bound the exact ones decide
+            near = np.flatnonzero((cost <= bound * (1 + 1e-6)) & np.isfinite(cost)).tolist()
+        near = [p for p in near if np.isfinite(cost[p])]
+        best = {u: self.nbest(u, n) for u in {units[p] for p in near}}
+        exact = sorted((best[units[p]][0][0] - best[units[p]][1][0], p) for p in near)[: n - 1]
+        for p in sorted(p for _, p in exact):
+            found = best[units[p]]
+            others = [(found[0][0] - s, x) for s, x in found[1:]]
+            ways = sorted([*ways, *((c + d, w | {p: x}) for c, w in ways for d, x in others)], key=lambda w: w[0])[:n]
+        ends = np.append(heads[1:], len(flat))
+        return ids, [(total - c, [(int(heads[p]) - p, int(ends[p] - heads[p]) - 1, list(x)) for p, x in sorted(w.items())]) for c, w in ways]
 
     def nbest_ids(self, text: str, n: int = NBEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text."""
-        _, ways, units = self.encode(text, n)
-        best = [np.frombuffer(self.cache.get(u) or self.seen(u), np.int32)[1:].tolist() for u in units]
-        return [(score, [i for p, ids in enumerate(best) for i in way.get(p, ids)]) for score, way in ways]
+        ids, ways = self.encode(text, n)
+        return [(score, changed(ids.tolist(), changes)) for score, changes in ways]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the blank in front; bytes that aren't UTF-8 become replacement marks."""
@@ -237,38 +269,55 @@ def load(path: str) -> bytes:
 
 
 def _loader(docs: DataFrame, proto: bytes):
-    shared, digest = docs.sparkSession.sparkContext.broadcast(proto), hashlib.sha256(proto).hexdigest()
+    bound_arrow(docs.sparkSession)
+    shared, digest = share(docs.sparkSession, proto), hashlib.sha256(proto).hexdigest()
     return lambda: _loaded(digest, shared.value)
 
 
+_CHANGES = "array<array<struct<at: int, n: int, ids: array<int>>>>"
+_CHANGES_ARROW = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+
 def encode(docs: DataFrame, proto: bytes, nbest: int = NBEST) -> DataFrame:
-    """doc_id, n_pieces, ids, nbest_scores (best first), round_trip (whether decoding gives the text) of every row."""
+    """doc_id, n_pieces, ids, nbest_scores (best first), nbest_changes (each segmentation as changes to ids, see Change;
+    none for the best), round_trip (whether decoding gives the text) of every row."""
     model_of = _loader(docs, proto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of()
-        for batch in batches_of_bytes(batches, "text", 2 << 20):
-            ids, scores, same = [], [], []
+        for batch in batches_of_bytes(batches, "text", 1 << 20):
+            ids, scores, changes, same = [], [], [], []
             for text in batch.column("text").to_pylist():
                 if text is None:
-                    ids.append(None)
-                    scores.append(None)
-                    same.append(None)
+                    for column in (ids, scores, changes, same):
+                        column.append(None)
                     continue
-                found, ways, _ = model.encode(text, nbest)
+                found, ways = model.encode(text, nbest)
                 ids.append(found)
-                scores.append([w[0] for w in ways])
+                scores.append([score for score, _ in ways])
+                changes.append([[{"at": at, "n": n, "ids": x} for at, n, x in w] for _, w in ways])
                 same.append(model.decode(found.tolist()) == text)
+            none = np.array([x is None for x in ids])
             sizes = np.array([0 if x is None else len(x) for x in ids])
             flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.array([x is None for x in ids] + [False]))
-            counts = pa.array(sizes, pa.int32(), mask=np.array([x is None for x in ids]))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.append(none, False))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), counts, pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
-                ["doc_id", "n_pieces", "ids", "nbest_scores", "round_trip"],
-            )
+                [
+                    batch.column("doc_id"), pa.array(sizes, pa.int32(), mask=none), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())),
+                    pa.array(scores, pa.list_(pa.float64())), pa.array(changes, _CHANGES_ARROW), pa.array(same, pa.bool_()),
+                ],
+                ["doc_id", "n_pieces", "ids", "nbest_scores", "nbest_changes", "round_trip"],
+            )
+
+    kind = f"doc_id long, n_pieces int, ids array<int>, nbest_scores array<double>, nbest_changes {_CHANGES}, round_trip boolean"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), kind)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces int, ids array<int>, nbest_scores array<double>, round_trip boolean")
+def with_nbest_ids(encoded: DataFrame) -> DataFrame:
+    """The rows of encode() with nbest_ids, the ids of each of the N best segmentations, written out."""
+    step = "named_struct('out', concat(a.out, slice(ids, a.at + 1, c.at - a.at), c.ids), 'at', c.at + c.n)"
+    whole = f"aggregate(w, named_struct('out', cast(array() as array<int>), 'at', 0), (a, c) -> {step}, a -> concat(a.out, slice(ids, a.at + 1, size(ids))))"
+    return encoded.withColumn("nbest_ids", F.expr(f"transform(nbest_changes, w -> {whole})"))
 
 
 def decoder(docs: DataFrame, proto: bytes):
@@ -279,4 +328,4 @@ def decoder(docs: DataFrame, proto: bytes):
         model = model_of()
         return pa.array([None if x is None else model.decode(x) for x in ids.to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string")
+    return arrow_column(run, "string")

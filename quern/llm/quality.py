@@ -6,7 +6,7 @@ what is cheap. Difference and logarithm of the plain compression rate (repetitiv
 logistic calibration fitted on labelled rows that the dictionaries haven't seen.
 
 Labels are learned from a bounded sample: of the labelled rows, those of least hash, at most `max_rows` of each label and
-`max_bytes` of text. The sample and the share of label 1 among all labels that may teach decide the model; every row is scored on its whole text, in one narrow pass.
+`max_bytes` of text; a text that doesn't fit is passed over for the next. The sample and the share of label 1 among all labels that may teach decide the model; every row is scored on its whole text, in one narrow pass.
 
 Defined results: null and empty texts get the score of the calibration at no difference. A row without a label is scored
 like any other; labels other than 0 and 1, and null ids among the labels, teach nothing. If the sample lacks one of the
@@ -16,16 +16,15 @@ labels, every score is the share of label 1 in it (0.5 without labels).
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import encoded, make_room
+from quern.llm.common import arrow_column, bound_arrow, encoded, make_room
 
 BLOCK = 1024
 DICTIONARY = 448 << 10
@@ -138,20 +137,33 @@ def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Quali
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_rows: int, max_bytes: int) -> list[tuple[str | None, int]]:
-    """At most max_rows (text, label) rows of each label and max_bytes of text in all, the least hashes first.
+    """At most max_rows (text, label) rows of each label and max_bytes / 2 of its text, the least hashes first; a text of
+    more than an eighth of these bytes, or than is left of them, is passed over for the next. Of several texts of one id
+    the shortest is taken.
 
-    Labels are picked before any text is read: the picked ids are few, so they are broadcast to the scan of the texts."""
+    Labels are picked first, then sizes are looked up, then the texts of the rows that fit: the picked ids are few, so
+    they are broadcast to the scans, and no text but those of the sample leaves its partition."""
     picked = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1)).where(~held_out)
     picked = picked.groupBy("_id").agg(F.max("_label").alias("_label")).withColumn("_order", F.xxhash64(F.lit(11), "_id"))
     # twice the rows, as an id can lack a document
     few = [picked.where(F.col("_label") == y).orderBy("_order", "_id").limit(2 * max_rows) for y in (0, 1)]
+    print_ = F.xxhash64("text")
     found = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), F.col("doc_id") == F.col("_id"))
-    found = found.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    by_label = Window.partitionBy("_label").orderBy("_order", "doc_id", "_size")  # over the bounded pick only
-    found = found.withColumn("_n", F.row_number().over(by_label)).withColumn("_bytes", F.sum("_size").over(by_label.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = found.where((F.col("_n") <= max_rows) & (F.col("_bytes") <= max_bytes // 2)).select("_order", "doc_id", "text", "_label").collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
-    return [(r[2], r[3]) for r in rows]
+    found = found.select("_id", "_label", "_order", F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), print_.alias("print")).alias("text"))
+    rows = sorted(found.groupBy("_label", "_order", "_id").agg(F.min("text").alias("text")).collect())
+    chosen: list[tuple] = []
+    for y in (0, 1):
+        n, left = 0, max_bytes // 2
+        for _, _, i, (size, mark) in (r for r in rows if r["_label"] == y):
+            if n < max_rows and size <= min(left, max_bytes // 16):
+                chosen.append((i, mark))
+                n, left = n + 1, left - size
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, f"_id {labels.select('doc_id').dtypes[0][1]}, _print long")
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), (F.col("doc_id") == F.col("_id")) & (print_ == F.col("_print")))
+    text = dict(texts.groupBy("_id").agg(F.min("text")).collect())
+    return [(text[r["_id"]], r["_label"]) for r in sorted(rows, key=lambda r: (r["_order"], r["_id"])) if r["_id"] in text]
 
 
 def held_out(doc_id: Column, held: tuple[int, int]) -> Column:
@@ -160,24 +172,25 @@ def held_out(doc_id: Column, held: tuple[int, int]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> QualityModel:
+    bound_arrow(docs.sparkSession)
     held = held_out(F.col("_id"), HELD_OUT)
     return fit(sample(docs, labels, "quality", held, max_rows, max_bytes), share_of_ones(labels, "quality", held))
 
 
 def scorer(model: QualityModel):
     """The score of a text column, as a column function."""
+    sizes_of: list[_Sizes] = []  # made once a worker
 
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        make_room()
-        sizes = _Sizes(model.good, model.bad)
+    def score(texts: pa.Array) -> pa.Array:
+        if not sizes_of:
+            make_room()
+            sizes_of.append(_Sizes(model.good, model.bad))
         w, means, scales = np.array(model.weights), np.array(model.means), np.array(model.scales)
-        for batch in batches:
-            x = np.array([sizes(encoded(t.as_py())) for t in batch]).reshape(-1, 2)
-            z = ((x - means) / scales) @ w[:-1] + w[-1]
-            yield pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
+        x = np.array([sizes_of[0](encoded(t.as_py())) for t in texts]).reshape(-1, 2)
+        z = ((x - means) / scales) @ w[:-1] + w[-1]
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
 
-    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(score, "double")
+    return arrow_column(score, "double")
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **limits: int) -> DataFrame:

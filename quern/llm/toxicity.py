@@ -12,7 +12,8 @@ A hit's window of words says how it is used: quotation marks and words of report
 reader, exclamation and further hits count as abuse. Sums over the hits of a document go through a logistic calibration.
 
 Labels are learned from a bounded sample (see quality.sample); every document is scored on its whole text, in one
-narrow pass. The terms come from one half of the sample, the calibration from the other.
+narrow pass. The terms come from the whole sample. The calibration is fitted crosswise: either half's texts are described
+by the terms that the other half teaches, so that no text is described by terms of its own.
 
 Defined results: null and empty texts have no hits and get the score of a document without any. If the sample lacks a
 label, terms come from the list alone and weights are fixed defaults.
@@ -23,7 +24,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import make_room
+from quern.llm.common import arrow_column, bound_arrow, make_room
 from quern.llm.quality import held_out, logistic, sample, share_of_ones, shift
 
 #: Common insults, words of reporting, words of address.
@@ -44,10 +44,12 @@ MAX_ROWS, MAX_BYTES = 4000, 32 << 20
 HELD_OUT = (5, 0)
 WINDOW = 6
 #: A learned term is in at least so many toxic documents and its log odds reach so much; a beginning has so many letters
-#: at least (two more at most) and so many words.
-SEEN, ODDS, STEM, STEM_WORDS = 3, 2.0, 4, 3
+#: at least, so many at most, and so many words.
+SEEN, ODDS, STEM, STEM_MOST, STEM_WORDS = 3, 3.0, 4, 8, 3
+#: The evidence of a learned term is beyond what chance gives the best of all candidates by so much.
+MARGIN = 8.0
 #: Words, and automaton states, that a worker keeps.
-CACHED = 300_000
+CACHED = 100_000
 _WORDS = re.compile(r"[^\W_]+")
 _TOKENS = re.compile(r"[^\W_]+|[\"“”„«»‹›‘’'`!]")
 
@@ -221,7 +223,7 @@ def learn_lexicon(rows: list[tuple[str | None, int]]) -> Lexicon:
     for found, y in vocabulary:
         words[y].update(found)
     tried = [w for w, k in words[1].items() if k >= SEEN and len(w) > 2]
-    least = 2 * math.log(max(2, len(tried)))
+    least = 2 * math.log(max(2, len(tried))) + MARGIN
     terms = {w: (2.0, edits(w)) for w in INSULTS if words[0][w] <= words[1][w]}
     for w in tried:
         g, odds = _evidence(words[1][w], words[0][w], n[1], n[0])
@@ -230,13 +232,13 @@ def learn_lexicon(rows: list[tuple[str | None, int]]) -> Lexicon:
     below: dict[str, set[str]] = defaultdict(set)
     for w in words[1]:
         if w not in terms or terms[w][0] != 2.0:
-            for k in range(STEM, min(len(w), STEM + 3)):
+            for k in range(STEM, min(len(w), STEM_MOST + 1)):
                 below[w[:k]].add(w)
     stems: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for found, y in vocabulary:
-        stems[y].update({w[:k] for w in found for k in range(STEM, min(len(w), STEM + 3)) if w[:k] in below})
+        stems[y].update({w[:k] for w in found for k in range(STEM, min(len(w), STEM_MOST + 1)) if w[:k] in below})
     tried = [s for s, k in stems[1].items() if k >= SEEN and len(below[s]) >= STEM_WORDS]
-    least = 2 * math.log(max(2, len(tried)))
+    least = 2 * math.log(max(2, len(tried))) + MARGIN
     scored = sorted(((*_evidence(stems[1][s], stems[0][s], n[1], n[0]), s) for s in tried), key=lambda x: (-x[0], x[2]))
     chosen: dict[str, float] = {}
     for g, odds, s in scored:
@@ -256,36 +258,40 @@ def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Toxic
         return ToxicityModel(learn_lexicon([]))
     # a text counts once: copies would make their chance words look telling
     parts = {y: list(dict.fromkeys(r for r in rows if r[1] == y)) for y in (0, 1)}
-    first = parts[0][::2] + parts[1][::2]
-    second = (parts[0][1::2] + parts[1][1::2]) or first
-    lexicon = learn_lexicon(first)
-    if len({y for _, y in second}) < 2:
+    halves = [parts[0][k::2] + parts[1][k::2] for k in (0, 1)]
+    lexicon = learn_lexicon(halves[0] + halves[1])
+    described: list[tuple[list[float], float]] = []
+    for mine, other in (halves, halves[::-1]):
+        if len({y for _, y in other}) == 2:
+            automaton = Automaton(learn_lexicon(other))
+            described += [(features(t, automaton), float(y)) for t, y in mine]
+    y = np.array([y for _, y in described])
+    if len(set(y.tolist())) < 2:
         return ToxicityModel(lexicon)
-    automaton = Automaton(lexicon)
-    x = np.array([features(t, automaton) for t, _ in second])
-    y = np.array([float(y) for _, y in second])
-    weights = logistic(x, y, 1e-4)
+    weights = logistic(np.array([x for x, _ in described]), y, 1e-4)
     weights[-1] += shift(y, share)
     return ToxicityModel(lexicon, tuple(weights.tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    bound_arrow(docs.sparkSession)
     held = held_out(F.col("_id"), HELD_OUT)
     return fit(sample(docs, labels, "toxic", held, max_rows, max_bytes), share_of_ones(labels, "toxic", held))
 
 
 def scorer(model: ToxicityModel):
     """The score of a text column, as a column function."""
+    automata: list[Automaton] = []  # made once a worker
 
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        make_room()
-        automaton, w = Automaton(model.lexicon), np.array(model.weights)
-        for batch in batches:
-            x = np.array([features(t.as_py(), automaton) for t in batch]).reshape(-1, len(NAMES))
-            yield pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -35, 35))), pa.float64())
+    def score(texts: pa.Array) -> pa.Array:
+        if not automata:
+            make_room()
+            automata.append(Automaton(model.lexicon))
+        w = np.array(model.weights)
+        x = np.array([features(t.as_py(), automata[0]) for t in texts]).reshape(-1, len(NAMES))
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -35, 35))), pa.float64())
 
-    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(score, "double")
+    return arrow_column(score, "double")
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **limits: int) -> DataFrame:

@@ -75,22 +75,40 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "op4_mix_sources",
     r"""
-    WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-    sources AS (
-        SELECT source, sum(size) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sized GROUP BY source),
+    WITH sized AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS sort_key
+        FROM documents),
+    sources AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sized GROUP BY source)),
     total AS (SELECT sum(n) AS t FROM sources),
     -- sources in the order in which their targets are reached; the first whose share holds for all later ones ends the capping
     filled AS (
         SELECT *, t - coalesce(sum(3 * n) OVER before, 0) AS left_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight
         FROM sources, total WINDOW before AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     level AS (SELECT left_ / weight AS l FROM filled WHERE left_ * w / weight <= 3 * n ORDER BY n / w, source NULLS LAST LIMIT 1),
-    targets AS (SELECT source, n, least(CAST((SELECT l FROM level) * w AS DOUBLE), CAST(3 * n AS DOUBLE)) AS target FROM sources),
+    targets AS (
+        SELECT source, CAST(n AS BIGINT) AS n, k, least(CAST((SELECT l FROM level) * w AS DOUBLE), CAST(3 * n AS DOUBLE)) AS target,
+            greatest(1, (CAST(n AS BIGINT) + block - 1) // block) AS blocks
+        FROM sources, (SELECT greatest(1, least(4096, CAST(t AS BIGINT) // 131072)) AS block FROM total)),
+    -- slots of the schedule: points of the golden ratio, as multiples of 2**-31, through the cumulative weights
+    shares AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target * blocks / n * 1048576 + 0.5) AS BIGINT) ELSE 0 END AS wanted FROM targets),
+    widths AS (
+        SELECT *, CAST(sum(wanted) OVER () AS BIGINT) AS all_wanted,
+            CASE WHEN wanted > 0 THEN greatest(1, CAST(floor(CAST(wanted AS DOUBLE) / CAST(sum(wanted) OVER () AS DOUBLE) * 4294967296 + 0.5) AS BIGINT)) ELSE 0 END AS width
+        FROM shares),
+    bounds AS (SELECT *, CAST(sum(width) OVER (ORDER BY k) AS BIGINT) AS hi, CAST(sum(width) OVER () AS BIGINT) AS whole FROM widths),
+    size_of AS (SELECT (max(all_wanted) + 524288) // 1048576 AS slots, max(whole) // 2 AS half FROM bounds),
+    points AS (SELECT slot, ((slot % 2147483648 * 1327217885 % 2147483648) * half) >> 30 AS spot FROM (SELECT unnest(range(slots)) AS slot, half FROM size_of)),
+    drawn AS (SELECT slot, k, blocks, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM points JOIN bounds ON hi - width <= spot AND spot < hi),
+    uses AS (SELECT k, count(*) AS uses FROM drawn WHERE rank < 3 * blocks GROUP BY k),
+    passes AS (  -- whole passes over a source, and words of the blocks of the last one
+        SELECT source, n, target, coalesce(uses, 0) // blocks AS full_, coalesce(uses, 0) % blocks * (n // blocks) + least(coalesce(uses, 0) % blocks, n % blocks) AS rest
+        FROM bounds LEFT JOIN uses USING (k)),
     laid AS (
-        SELECT doc_id, size, n, target, CAST(floor(target) AS BIGINT) AS words,
-            coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-        FROM sized JOIN targets USING (source))
-    SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
-        CAST(CASE WHEN size = 0 THEN 0 ELSE (words // n) * size + greatest(0, least(start + size, words % n) - start) END AS BIGINT) AS taken
+        SELECT doc_id, size, n, target, full_, rest,
+            coalesce(sum(size) OVER (PARTITION BY source ORDER BY sort_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM sized JOIN passes USING (source))
+    SELECT doc_id, size, n AS source_size, target, CAST(full_ * size + greatest(0, least(start + size, rest) - start) AS BIGINT) AS taken
     FROM laid
     """,
 )
@@ -147,7 +165,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     templates = ", ".join(f"({i}, {quote(name)}, {quote(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
-    anchor, term = quote(licenses.ANCHOR), quote(licenses.TERM)
+    term = quote(licenses.TERM)
     return rf"""
     WITH templates AS (SELECT * FROM (VALUES {templates}) AS t(template, license, text)),
     files AS (SELECT row_number() OVER () AS file, doc_id, coalesce(text, '') AS text, coalesce(source, '_') AS source, coalesce(source, '_') || '/' || coalesce(lang, '_') AS folder FROM documents),
@@ -161,10 +179,11 @@ def _license_sql() -> str:
     units AS (
         SELECT file, 'line' AS kind, unnest(string_split(text, chr(10))) AS unit FROM files
         UNION ALL SELECT file, 'paragraph', unnest(regexp_split_to_array(text, '
-[ 	]*
+[ 	
+]*
 ')) FROM files
         UNION ALL SELECT file, 'whole', text FROM files),
-    numbered AS (SELECT row_number() OVER () AS u, * FROM units WHERE regexp_matches(unit, {anchor})),
+    numbered AS (SELECT row_number() OVER () AS u, * FROM units),
     bags AS (SELECT u, file, kind, term, count(*) AS tf FROM (SELECT u, file, kind, unnest(regexp_extract_all(lower(unit), {term})) AS term FROM numbered) GROUP BY ALL),
     heavy AS (SELECT u, file, kind, term, tf * coalesce(idf, ln((n + 1.0) / 2.0) + 1.0) AS w FROM bags LEFT JOIN idf USING (term), n),
     size AS (SELECT u, sqrt(sum(w * w)) AS size FROM heavy GROUP BY u),

@@ -7,7 +7,8 @@ here; the least offers don't depend on the order, so this gives the sequential a
 
 Documents that agree in all rows of a band meet in that band's bucket. A bucket never lists its pairs: each member is
 first compared with the bucket's first document. Groups that these links leave apart though they share a bucket are then
-compared member by member, in blocks, by exact counts. So whatever meets in a bucket is in one group or was counted, and no link
+compared member by member, in blocks, by exact counts; a bucket of two is done with its one pair, so chance meetings cost no more than
+that. So whatever meets in a bucket is in one group or was counted, and no link
 between groups is missed. All counts are on the full sets of 64-bit hashes. Documents with equal word sequences share
 one class, and only classes are compared.
 
@@ -15,7 +16,8 @@ With 24 bands of 4 rows a pair of similarity 0.8 misses all buckets with probabi
 
 Defined results: a null or blank text has no shingles and is linked with nothing. Rows that share a doc_id are one
 document. Rows without one are documents of their own, equal word sequences together; their component_id is null where no
-doc_id is reachable, and then they are kept. (Inside, they get numbers from the top 2**40 longs, which ids mustn't use.)
+doc_id is reachable, and then one text of each group is kept, and each blank one. (Inside, they get numbers from the top
+2**40 longs; ids from that range are refused.)
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_IDS, LAST, batches_of_bytes, columns, connected_components, encoded, gram_hashes, make_room, materialize, mix, narrow, runs, settled, spread, tidied, word_hashes
+from quern.llm.common import LAST, arrow_column, batches_of_bytes, bounded, columns, connected_components, encoded, gram_hashes, make_room, materialize, mix, narrow, runs, settled, spread, tidied, word_hashes
 
 BANDS, ROWS = 24, 4
 #: A pair of less estimated similarity than the threshold by this much isn't verified: five standard deviations at 0.8.
@@ -220,17 +222,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, simil
     dealt = pairs.join(hubs, "a").withColumn("sub", F.pmod(F.xxhash64("b"), "subs").cast("int"))
     second = dealt.select("a", "b", "sub").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     first = hubs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    counted = second.join(first, ["a", "sub"]).select("a", "b", F.arrow_udf(_common, "common long, total long")("x", "y").alias("c"))
+    counted = second.join(first, ["a", "sub"]).select("a", "b", arrow_column(_common, "common long, total long", 2)("x", "y").alias("c"))
     return counted.where(F.expr(f"100 * c.common >= {similarity} * (c.total - c.common)")).select("a", "b")
 
 
 def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
     """Links between groups that meet in a bucket, enough to join those groups that any link joins.
 
-    Groups that share buckets form a cluster. Its members outside its largest group are probes, compared with all its
+    A bucket's first document has been compared with all its members, so only the others can hold such links. Groups whose
+    others share buckets form a cluster. Its members outside its largest group are probes, compared with all its
     members; both are dealt in blocks, so a task holds at most about two blocks of sets, whatever the cluster's size."""
     spark = members.sparkSession
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+    labelled = members.where("node > first").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket", "least")
     meet = labelled.join(mixed, "bucket").where("label > least").select(F.col("least").alias("a"), F.col("label").alias("b")).distinct()
     clusters = materialize(connected_components(meet).select(F.col("node").alias("label"), F.col("component").alias("cluster")))
@@ -254,7 +257,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: int = 80, bands: in
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); similarity in hundredths.
 
     component_id is the smallest doc_id reachable over links; kept marks the document that bears it."""
-    found = settled(lambda: _grouped(docs, n, similarity, bands, rows))
+    found = settled(lambda: _grouped(docs, n, similarity, bands, rows), docs.sparkSession)
     return found.select(F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
@@ -262,10 +265,12 @@ def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows:
     """key (doc_id, a null as the largest long), print (hash of the text), n_shingles, component_id, kept."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64("text").alias("print"), "text")
     signed = materialize(docs.mapInArrow(tidied(_signer(n, bands, rows)), _SIGNED))
+    if (signed.where(F.col("key") < LAST).agg(F.max("key")).collect()[0][0] or 0) >= LAST - NAMELESS:
+        raise ValueError(f"doc_ids must be below {LAST - NAMELESS}")
     own = F.lit(LAST - 1) - F.pmod(F.xxhash64("class"), F.lit(NAMELESS - 1))
-    firsts = signed.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"))
-    firsts = materialize(firsts.select("class", "key", F.when(F.col("key") == LAST, own).otherwise(F.col("key")).alias("node")))
-    nodes = signed.join(firsts, ["class", "key"]).select("node", "key", "print", "class", "bands", "signature", "n_shingles")
+    firsts = signed.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"), F.min("print").alias("least"))
+    firsts = materialize(firsts.select("class", "key", "least", F.when(F.col("key") == LAST, own).otherwise(F.col("key")).alias("node")))
+    nodes = signed.join(firsts.drop("least"), ["class", "key"]).select("node", "key", "print", "class", "bands", "signature", "n_shingles")
     nodes = materialize(nodes.dropDuplicates(["class"]))
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "first")
@@ -275,7 +280,7 @@ def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows:
 
     star = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     near = star.join(signatures.toDF("a", "sa", "na"), "a").join(signatures.toDF("b", "sb", "nb"), "b")
-    near = near.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(F.arrow_udf(_agreement, "double")("sa", "sb") >= least)
+    near = near.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(arrow_column(_agreement, "double", 2)("sa", "sb") >= least)
     links = _verified(materialize(near.select("a", "b").distinct()), nodes, docs, n, similarity)
     again = materialize(signed.where(F.col("key") < LAST).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
     if not again.isEmpty():  # the texts of one doc_id are one document
@@ -287,22 +292,24 @@ def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows:
     more = materialize(_across(members, labels, nodes, docs, n, similarity))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
-    grouped = signed.select("key", "print", "class", "n_shingles").join(firsts.select("class", "node"), "class", "left").join(labels, "node", "left")
+    grouped = signed.select("key", "print", "class", "n_shingles").join(firsts.select("class", "node", "least"), "class", "left").join(labels, "node", "left")
     component = F.coalesce("component", "node", "key")
     named = F.when(component < LAST - NAMELESS, component)
-    return grouped.select("key", "print", "n_shingles", named.alias("component_id"), F.coalesce(F.col("key") == named, named.isNull()).alias("kept"))
+    one = F.col("node").isNull() | (F.col("node") == component) & (F.col("print") == F.col("least"))  # of a group without any id
+    return grouped.select("key", "print", "n_shingles", named.alias("component_id"), F.coalesce(F.col("key") == named, one).alias("kept"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs that bear their group's component_id, or have none; of rows that repeat a doc_id and text one stays."""
+    """One document of each group: the rows of docs that bear their group's component_id, or of a group without any id one
+    text; blank texts all stay. Of rows that repeat a doc_id and text one stays."""
     from pyspark.sql import Window
 
-    found = settled(lambda: _grouped(docs, n, similarity))
+    found = settled(lambda: _grouped(docs, n, similarity), docs.sparkSession)
     rows = found.select(F.col("key").alias("__quern_key"), F.col("print").alias("__quern_print"), "kept")
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__quern_key")) & (F.xxhash64("text") == F.col("__quern_print"))
     # texts stay where they are as long as the list of rows that go is of a size to broadcast
     go = materialize(rows.where("not kept").select("__quern_key", "__quern_print").distinct())
-    out = docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, same, "left_anti")
+    out = docs.join(bounded(go), same, "left_anti")
     again = materialize(rows.groupBy("__quern_key", "__quern_print").count().where("count > 1").select("__quern_key", "__quern_print"))
     if again.isEmpty():
         return out

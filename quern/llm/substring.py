@@ -9,7 +9,9 @@ first of them.
 3. The words that repeated windows cover are removed.
 
 Documents of equal word sequences need no windows: all but the first lose every word if they have `width` words, none
-otherwise. A minimiser that is very frequent is dealt out over sub-buckets by the windows' own checksums.
+otherwise. The windows of a minimiser that more than BUCKET super-k-mers have (a passage that many documents share) travel one by one as 128-bit
+digests of their words: the least document of each is aggregated before the shuffle, so however many copies there are,
+no task gets them all, and the repeated windows are joined back.
 
 Defined results: a null text has no words. A null doc_id sorts after all others, and all such rows count as one document.
 Rows that share a doc_id are the same document, so they never remove words from one another. Extra columns are kept by
@@ -27,18 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_IDS, LAST, batches_of_bytes, columns, encoded, gram_hashes, make_room, materialize, narrow, runs, settled, slide_min, spread, tidied, word_hashes
+from quern.llm.common import LAST, arrow_column, batches_of_bytes, bounded, columns, encoded, gram_hashes, make_room, materialize, narrow, runs, settled, slide_min, spread, tidied, word_hashes
 
 WIDTH = 50
 #: Words of a minimiser: long enough that common phrases aren't minimisers, short enough for super-k-mers of many windows.
 MINIMISER = 16
-#: Super-k-mers of one minimiser that one task takes; more are dealt over sub-buckets.
-BUCKET = 50_000
+#: Super-k-mers of one minimiser that one task takes; of more, the windows are aggregated.
+BUCKET = 1000
 #: Windows that a bucket sorts at once; more are sorted in passes, by checksum.
 SORTED = 200_000
 
 _SCAN = "key long, print long, row long, n_words long, sha binary, starts array<int>, ends array<int>, minimisers array<long>"
-_PACKED = "minimiser long, sub int, key long, row long, start int, packed binary"
+_RANGES = "key long, row long, lo int, hi int"
+_PACKED = "minimiser long, key long, row long, start int, packed binary"
 
 
 def _identity(sha: bytes, key: int) -> int:
@@ -78,7 +81,9 @@ def _scanner(width: int, m: int):
     return scan
 
 
-def _packer(width: int):
+def _packer(width: int, windows: bool):
+    """Packs the parts of each document: super-k-mers as strings, or their windows one by one as digests."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of_bytes(batches, "text", 2 << 20):
             out: list[tuple] = []
@@ -87,16 +92,14 @@ def _packer(width: int):
                 if _identity(hashlib.sha256(b" ".join(words)).digest(), key) != row:
                     continue
                 for part in parts:
-                    start, end, minimiser, subs = part["start"], part["end"], part["minimiser"], part["subs"]
-                    if subs == 1:
-                        out.append((minimiser, 0, key, row, start, b" ".join(words[start : end + width - 1])))
-                        continue
-                    for i in range(start, end):
-                        window = b" ".join(words[i : i + width])
-                        out.append((minimiser, zlib.crc32(window) % subs, key, row, i, window))
-                if len(out) > 20_000:
-                    yield _rows(out)
-                    out = []
+                    start, end, minimiser = part["start"], part["end"], part["minimiser"]
+                    if windows:
+                        out += [(minimiser, key, row, i, hashlib.blake2b(b" ".join(words[i : i + width]), digest_size=16).digest()) for i in range(start, end)]
+                    else:
+                        out.append((minimiser, key, row, start, b" ".join(words[start : end + width - 1])))
+                    if len(out) > 20_000:
+                        yield _rows(out)
+                        out = []
             if out:
                 yield _rows(out)
 
@@ -104,8 +107,8 @@ def _packer(width: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["minimiser", "sub", "key", "row", "start", "packed"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["minimiser", "key", "row", "start", "packed"])
 
 
 def _windows(packed: bytes, width: int) -> Iterator[bytes]:
@@ -136,7 +139,7 @@ def _least_documents(strings: dict[bytes, int], width: int) -> dict[bytes, np.nd
 def _bucket(width: int):
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
-        for group in runs(batches, ["minimiser", "sub"]):
+        for group in runs(batches, ["minimiser"]):
             keys = group.column("key").to_pylist()
             if min(keys) == max(keys):
                 continue
@@ -187,14 +190,23 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) ->
     parts = scanned.select("key", "print", "row", F.expr("inline(arrays_zip(minimisers, starts, ends))"))
     parts = parts.toDF("key", "print", "row", "minimiser", "start", "end")
     shared = parts.groupBy("minimiser").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    shared = shared.select("minimiser", F.ceil(F.col("n") / BUCKET).cast("int").alias("subs"))
-    travels = parts.join(shared, "minimiser").groupBy("key", "print", "row").agg(F.collect_list(F.struct("start", "end", "minimiser", "subs")).alias("parts"))
+    shared = materialize(shared.select("minimiser", (F.col("n") > BUCKET).alias("hot")))
+    travels = parts.join(shared, "minimiser").groupBy("key", "print", "row", "hot").agg(F.collect_list(F.struct("start", "end", "minimiser")).alias("parts"))
     travels = materialize(travels)
-    texts = narrow(docs, "key", travels.select("key").distinct()).join(travels, ["key", "print"])
-    packed = texts.select("key", "row", "text", "parts").mapInArrow(tidied(_packer(width)), _PACKED)
+
+    def packed(hot: bool) -> DataFrame:
+        mine = travels.where(F.col("hot") == hot).drop("hot")
+        texts = narrow(docs, "key", mine.select("key").distinct()).join(mine, ["key", "print"])
+        return texts.select("key", "row", "text", "parts").mapInArrow(tidied(_packer(width, hot)), _PACKED)
+
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = packed.repartition(n, "minimiser", "sub").sortWithinPartitions("minimiser", "sub").mapInArrow(tidied(_bucket(width)), "key long, row long, lo int, hi int")
-    return rows, materialize(ranges)
+    cold = packed(False).repartition(n, "minimiser").sortWithinPartitions("minimiser").mapInArrow(tidied(_bucket(width)), _RANGES)
+    if travels.where("hot").isEmpty():
+        return rows, materialize(cold)
+    windows = materialize(packed(True))
+    again = materialize(windows.groupBy("packed").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("packed", "first"))
+    hot = windows.join(bounded(again), "packed").where("key > first").select("key", "row", F.col("start").alias("lo"), (F.col("start") + width).cast("int").alias("hi"))
+    return rows, materialize(cold.unionByName(hot))
 
 
 def _cutter(digest: bool):
@@ -222,7 +234,7 @@ def _cutter(digest: bool):
         kind = pa.struct([("row", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]) if digest else pa.string()
         return pa.array(out, kind)
 
-    return F.arrow_udf(cut, "row long, n_removed long, kept_sha256 string" if digest else "string")
+    return arrow_column(cut, "row long, n_removed long, kept_sha256 string" if digest else "string", 3)
 
 
 def _spans(rows: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -233,7 +245,7 @@ def _spans(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
-    return settled(lambda: _digests(docs, width, m))
+    return settled(lambda: _digests(docs, width, m), docs.sparkSession)
 
 
 def _digests(docs: DataFrame, width: int, m: int) -> DataFrame:
@@ -258,12 +270,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> D
         whole = rows.where("copy").select("key", "row", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi")).distinct()
         return _spans(rows, ranges.unionByName(whole)).toDF("__quern_key", "__quern_print", "__quern_spans")
 
-    spans = settled(find)
+    spans = settled(find, docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     same = (key == F.col("__quern_key")) & (F.xxhash64("text") == F.col("__quern_print"))
-    changed = spans.select("__quern_key", "__quern_print")
-    if spans.count() <= BROADCAST_IDS:  # other texts stay where they are
-        changed = F.broadcast(changed)
+    changed = bounded(spans.select("__quern_key", "__quern_print"))  # other texts stay where they are
     clean, cut = docs.join(changed, same, "left_anti"), docs.join(changed, same, "left_semi")
     joined = cut.join(spans, same).withColumn("text", _cutter(False)("text", key, "__quern_spans"))
     if "n_chars" in docs.columns:

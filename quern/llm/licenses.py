@@ -1,17 +1,23 @@
 """License scans with DataFrame operations alone: sparse TF-IDF cosine of headers and licence files to templates, then
 inheritance from the nearest ancestor directory by joins over paths.
 
-Units of a text are its lines, its paragraphs (between blank lines) and the whole; those that hold an anchor word are
-compared with the templates. Terms weigh tf * idf, with idf = ln((1 + N) / (1 + df)) + 1 counted over all N texts; df is
+Units of a text are its lines, its paragraphs (between blank lines) and the whole; each is compared with the templates.
+Terms weigh tf * idf, with idf = ln((1 + N) / (1 + df)) + 1 counted over all N texts; df is
 counted for the templates' terms, any other term counts as one of a single text. A text whose line or paragraph reaches
 the threshold has that header's licence; a text that reaches it as a whole is a licence file and stands for its folder.
-Wholes are also compared with full licence texts (licence_texts), terms weighing (1 + ln tf) * idf with idf counted over
-the texts that have an anchor, so that neither common words nor length decide; one that reaches FULL is that licence's
+Wholes that have a term of a template beyond the COMMON ones are also compared with full licence texts (licence_texts),
+terms weighing (1 + ln tf) * idf with idf counted over these wholes, so that neither common words nor length decide; one that reaches FULL is that licence's
 file, whatever headers it quotes. A line that reserves all rights counts only where nothing else reaches the threshold.
 A text without a licence of its own takes that of the nearest folder above it that has a licence file.
 
-Only the templates' terms (fixed, a few hundred) are broadcast. Texts are scanned once for df and once for their units;
-inheritance is resolved for distinct folders, so a folder of any number of files is one row.
+No match is lost by looking at fewer units: a unit without any of a template's terms but COMMON ones has at most the
+cosine sqrt(c), c being the part that these have in the template's squared length. As long as that is below the threshold
+for all templates, which is checked once idf is known, units without such a term are left out, and texts without one
+aren't written; else the texts are scanned again for all terms.
+
+Only the templates' terms (fixed, a few hundred) are broadcast. Texts are scanned once, and each one's terms found once. The
+texts that may match are dealt by file, so their terms are counted, weighed and summed without another shuffle.
+Inheritance is resolved for distinct folders, so a folder of any number of files is one row.
 
 Defined results: null and empty texts have no licence of their own, but inherit. Null parts of a path count as "_". Of
 equal matches the template of the smaller name wins, of several licence files in a folder the best, then that of the
@@ -21,12 +27,13 @@ smaller licence name. Repeated rows are separate files. Extra columns take no pa
 from __future__ import annotations
 
 import math
+import re
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_IDS, materialize, settled
+from quern.llm.common import bounded, materialize, settled
 
 #: Licences and the texts that announce them.
 TEMPLATES = (
@@ -47,13 +54,13 @@ TEMPLATES = (
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
-#: A unit is compared only if it holds one of these.
-ANCHOR = r"(?i)licen[sc]e|copyright|rights reserved|spdx|creative commons|public domain|redistribution|hereby granted|mozilla|cc0"
+#: Terms of the templates that common prose has, too, in one of the corpora's languages.
+COMMON = frozenset("a all and any are as at be by can for found from have in is it may mit of on or that the this to use with you".split())
 TERM = r"[a-z0-9]+(\.[0-9]+)*"
 THRESHOLD = 0.6
 #: The cosine from which a whole text is a copy of a full licence; other versions of a licence stay below, other holders above.
@@ -76,64 +83,84 @@ def _templates(spark, texts: tuple | list = TEMPLATES) -> DataFrame:
     return rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def term_weights(texts: DataFrame, templates: DataFrame) -> tuple[DataFrame, float]:
-    """idf of the templates' terms (term, idf), counted over all rows of texts, and that of any other term."""
-    vocabulary = sorted(r[0] for r in templates.select("term").distinct().collect())  # fixed by TEMPLATES
-    held = texts.select(F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*[F.lit(t) for t in vocabulary])).alias("held"))
+def vocabulary(texts: tuple | list = TEMPLATES) -> list[str]:
+    """The templates' terms."""
+    return sorted({m[0] for _, text in texts for m in re.finditer(TERM, text.lower())})
+
+
+def _any_of(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def term_weights(held: DataFrame, templates: DataFrame) -> tuple[DataFrame, float]:
+    """idf of the templates' terms (term, idf), counted over all rows of held (held: the vocabulary's terms of a text), and
+    that of any other term."""
     # one marker a text counts the texts
-    counts = held.select(F.explode(F.concat(F.array(F.lit("")), "held")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    counts = materialize(counts)
+    counts = materialize(held.select(F.explode(F.concat(F.array(F.lit("")), "held")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     n = counts.where("term = ''").agg(F.max("df")).collect()[0][0] or 0
     idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
-    return templates.select("term").distinct().join(counts, "term", "left").select("term", idf.alias("idf")), math.log((n + 1) / 2) + 1
+    return materialize(templates.select("term").distinct().join(counts, "term", "left").select("term", idf.alias("idf"))), math.log((n + 1) / 2) + 1
+
+
+def _parts(templates: DataFrame, known: DataFrame) -> DataFrame:
+    """term, idf, parts: the templates that have the term, their licences, and its part of the template's unit vector."""
+    weighted = templates.join(F.broadcast(known), "term").withColumn("weight", F.col("tf") * F.col("idf"))
+    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    weighted = weighted.join(F.broadcast(norms), "template").select("template", "license", "term", "idf", (F.col("weight") / F.col("norm")).alias("part"))
+    return weighted.groupBy("term", "idf").agg(F.collect_list(F.struct("template", "license", "part")).alias("parts"))
 
 
-def units(held: DataFrame) -> DataFrame:
-    """file, kind, place, unit: the lines, paragraphs and wholes of held (file, text) that have an anchor."""
+def common_part(parts: DataFrame) -> float:
+    """The greatest part that COMMON terms have in a template's squared length."""
+    spread = parts.select("term", F.explode("parts").alias("p"))
+    shares = spread.groupBy("p.template").agg(F.sum(F.when(F.col("term").isin(*COMMON), F.col("p.part") * F.col("p.part")).otherwise(0.0)).alias("share"))
+    return shares.agg(F.max("share")).collect()[0][0] or 0.0
+
+
+def units(held: DataFrame, anchors: list[str]) -> DataFrame:
+    """file, kind, place, terms: of the lines, paragraphs and wholes of held (file, text) that have an anchor."""
     lines = held.select("file", F.lit("line").alias("kind"), F.posexplode(F.split("text", "\n")).alias("place", "unit"))
     paragraphs = held.select("file", F.lit("paragraph").alias("kind"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("place", "unit"))
     whole = held.select("file", F.lit("whole").alias("kind"), F.lit(0).alias("place"), F.col("text").alias("unit"))
-    return lines.unionByName(paragraphs).unionByName(whole).where(F.col("unit").rlike(ANCHOR))
+    bags = [u.select("file", "kind", "place", terms(F.col("unit")).alias("terms")) for u in (lines, paragraphs, whole)]
+    return bags[0].unionByName(bags[1]).unionByName(bags[2]).where(F.arrays_overlap("terms", _any_of(anchors)))
+
+
+def _best(weights: DataFrame, unit: list[str], threshold: float) -> DataFrame:
+    """unit, license, cosine: the best template of each unit that reaches the threshold; weights has a row for each term
+    of a unit: weight, and parts or null. The length counts as one more template, whose parts are the unit's own weights."""
+    own = F.array(F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.col("weight").alias("part")))
+    none = F.array().cast("array<struct<template:int,license:string,part:double>>")
+    dots = weights.select(*unit, "weight", F.explode(F.concat(F.coalesce("parts", none), own)).alias("p"))
+    dots = dots.groupBy(*unit, F.col("p.template").alias("template"), F.col("p.license").alias("license")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("dot"))
+    of = lambda c: F.when(F.col("template") >= 0, c)
+    best = dots.groupBy(*unit).agg(
+        F.sqrt(F.max(F.when(F.col("template") < 0, F.col("dot")))).alias("size"), F.max(of(F.col("dot"))).alias("dot"),
+        F.min_by(of(F.col("license")), of(F.struct(-F.round("dot", 9), "license"))).alias("license"),
+    )
+    return best.select(*unit, "license", F.least(F.col("dot") / F.col("size"), F.lit(1.0)).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
-def matches(held: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """file, kind, license, cosine: the best template of each unit of held (file, text) that reaches the threshold, by
-    weights counted over texts (text)."""
-    templates = _templates(held.sparkSession)
-    known, other = term_weights(texts, templates)
-    known = materialize(known)
-    weighted = templates.join(F.broadcast(known), "term").select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    weighted = weighted.join(F.broadcast(norms), "template").select("template", "license", "term", (F.col("weight") / F.col("norm")).alias("part"))
-    bags = units(held).select("file", "kind", "place", F.explode(terms(F.col("unit"))).alias("term")).groupBy("file", "kind", "place", "term").agg(F.count("*").alias("tf"))
-    bags = bags.join(F.broadcast(known), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    by_license = weighted.groupBy("term").agg(F.collect_list(F.struct("template", "license", "part")).alias("parts"))
+def matches(held: DataFrame, parts: DataFrame, other: float, anchors: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """file, kind, license, cosine: the best template of each unit of held (file, text) that reaches the threshold; other is
+    the idf of terms that parts lacks."""
     unit = ["file", "kind", "place"]
-    size = bags.groupBy(*unit).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
-    shared = bags.where("idf is not null").join(F.broadcast(by_license), "term").select(*unit, "weight", F.explode("parts").alias("p"))
-    dots = shared.groupBy(*unit, F.col("p.template").alias("template"), F.col("p.license").alias("license")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("dot"))
-    best = dots.groupBy(*unit).agg(F.max("dot").alias("dot"), F.min_by("license", F.struct(-F.round("dot", 9), "license")).alias("license"))
-    return best.join(size, unit).select("file", "kind", "license", F.least(F.col("dot") / F.col("size"), F.lit(1.0)).alias("cosine")).where(F.col("cosine") >= threshold)
+    bags = units(held.repartition("file"), anchors).select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
+    heavy = bags.join(F.broadcast(parts), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    return _best(heavy, unit, threshold).drop("place")
 
 
 def full_matches(held: DataFrame, threshold: float = FULL) -> DataFrame:
     """file, kind, license, cosine: the best full licence text of each whole of held (file, text) that reaches the threshold."""
     damped = lambda df: df.withColumn("tf", 1 + F.log("tf"))
-    templates = materialize(damped(_templates(held.sparkSession, full_texts())))
-    bags = materialize(damped(held.where(F.col("text").rlike(ANCHOR)).select("file", F.explode(terms(F.col("text"))).alias("term")).groupBy("file", "term").agg(F.count("*").alias("tf"))))
-    n = bags.select("file").distinct().count()
-    vocabulary = templates.select("term").distinct()
-    df = bags.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    known = materialize(vocabulary.join(df, "term", "left").select("term", (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")))
-    weighted = templates.join(F.broadcast(known), "term").withColumn("weight", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    weighted = weighted.join(F.broadcast(norms), "template").select("license", "term", (F.col("weight") / F.col("norm")).alias("part"))
-    by_license = weighted.groupBy("term").agg(F.collect_list(F.struct("license", "part")).alias("parts"))
-    heavy = bags.join(F.broadcast(by_license.join(known, "term")), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(math.log((n + 1) / 2) + 1)))
-    size = heavy.groupBy("file").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
-    dots = heavy.select("file", "weight", F.explode("parts").alias("p")).groupBy("file", F.col("p.license").alias("license")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("dot"))
-    best = dots.groupBy("file").agg(F.max("dot").alias("dot"), F.min_by("license", F.struct(-F.round("dot", 9), "license")).alias("license"))
-    return best.join(size, "file").select("file", F.lit("full").alias("kind"), "license", F.least(F.col("dot") / F.col("size"), F.lit(1.0)).alias("cosine")).where(F.col("cosine") >= threshold)
+    texts = full_texts()
+    templates = materialize(damped(_templates(held.sparkSession, texts)))
+    found = materialize(held.select("file", "text", F.array_intersect(terms(F.col("text")), _any_of(vocabulary(texts))).alias("held")))
+    known, other = term_weights(found, templates)
+    parts = materialize(_parts(templates, known))
+    bags = damped(found.select("file", "text").repartition("file").select("file", F.explode(terms(F.col("text"))).alias("term")).groupBy("file", "term").agg(F.count("*").alias("tf")))
+    heavy = bags.join(F.broadcast(parts), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    return _best(heavy, ["file"], threshold).withColumn("kind", F.lit("full"))
 
 
 def ancestors(folder: Column) -> Column:
@@ -146,15 +173,27 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """file, path, own_license, own_cosine, license, inherited_from, license_file of every row of files (path, text).
 
     path has folders and a name, parted by /; file is a number of the row, given here."""
-    return settled(lambda: _scan(files, threshold))
+    return settled(lambda: _scan(files, threshold), files.sparkSession)
+
+
+def _named(files: DataFrame, words: list[str], anchors: list[str]) -> DataFrame:
+    """path, file (a number), held (the text's terms among words) and the text, if it has an anchor; written."""
+    found = files.select(F.coalesce("path", F.lit("_")).alias("path"), "text", F.array_intersect(terms(F.coalesce("text", F.lit(""))), _any_of(words)).alias("held"))
+    text = F.when(F.arrays_overlap("held", _any_of(anchors)), F.col("text")).alias("text")
+    return materialize(found.select("path", "held", text).withColumn("file", F.monotonically_increasing_id()))
 
 
 def _scan(files: DataFrame, threshold: float) -> DataFrame:
-    # only texts with an anchor are written
-    anchored = F.when(F.col("text").rlike(ANCHOR), F.col("text")).alias("text")
-    named = materialize(files.select(F.coalesce("path", F.lit("_")).alias("path"), anchored).withColumn("file", F.monotonically_increasing_id()))
+    templates, words = materialize(_templates(files.sparkSession)), vocabulary()
+    anchors = [w for w in words if w not in COMMON]
+    named = _named(files, words, anchors)
+    known, other = term_weights(named, templates)
+    parts = materialize(_parts(templates, known))
+    if common_part(parts) > threshold * threshold - 1e-9:  # common terms alone might do
+        anchors = words
+        named = _named(files, words, anchors)
     held = named.where("text is not null").select("file", "text")
-    found = materialize(matches(held, files.select("text"), threshold).unionByName(full_matches(held)))
+    found = materialize(matches(held, parts, other, anchors, threshold).unionByName(full_matches(held)))
     rank = F.struct(F.col("kind") != "full", F.col("license") == "Proprietary", -F.round("cosine", 9), "license")
     pick = lambda kinds: found.where(F.col("kind").isin(*kinds)).groupBy("file").agg(F.min_by("cosine", rank).alias("cosine"), F.min_by("license", rank).alias("license"))
     own = pick(("line", "paragraph", "whole", "full")).select("file", F.col("license").alias("own_license"), F.col("cosine").alias("own_cosine"))
@@ -165,15 +204,13 @@ def _scan(files: DataFrame, threshold: float) -> DataFrame:
     stands = rows.where("file_license is not null").groupBy("folder").agg(F.min_by("file_license", order).alias("folder_license")).select(F.col("folder").alias("above"), "folder_license")
     folders = rows.where("own_license is null").select("folder").distinct().select("folder", F.posexplode(ancestors(F.col("folder"))).alias("far", "above"))
     stands = materialize(stands)
-    small = stands.count() <= BROADCAST_IDS // 10
-    near = folders.join(F.broadcast(stands) if small else stands, "above").groupBy("folder").agg(F.min_by(F.struct("above", "folder_license"), "far").alias("near"))
-    near = materialize(near)
-    near = F.broadcast(near) if near.count() <= BROADCAST_IDS // 10 else near
-    out = rows.join(near, "folder", "left")
+    near = folders.join(bounded(stands), "above").groupBy("folder").agg(F.min_by(F.struct("above", "folder_license"), "far").alias("near"))
+    near = near.select("folder", F.col("near.above").alias("near_above"), F.col("near.folder_license").alias("near_license"))
+    out = rows.join(bounded(materialize(near)), "folder", "left")
     inherits = F.col("own_license").isNull()
     return out.select(
-        "file", "path", "own_license", "own_cosine", F.coalesce("own_license", "near.folder_license").alias("license"),
-        F.when(inherits, F.col("near.above")).alias("inherited_from"), F.col("file_license").isNotNull().alias("license_file"),
+        "file", "path", "own_license", "own_cosine", F.coalesce("own_license", "near_license").alias("license"),
+        F.when(inherits, F.col("near_above")).alias("inherited_from"), F.col("file_license").isNotNull().alias("license_file"),
     )
 
 

@@ -2,7 +2,8 @@
 
 1. Equal directions share one node. Nodes are assigned to overlapping shards: their `overlap` nearest centres, drawn from
    a bounded sample; the nearest is the node's home. Shards that are still too large are split again by centres of their
-   own, each from a bounded sample of it, until none is, so shards keep their size however many nodes there are.
+   own, each from a bounded sample of it, until none is or splitting doesn't help, so shards keep their size however many
+   nodes there are.
 2. In each shard, robust pruning gives every node its edges: the nearest node left becomes a neighbour and rules out the
    nodes that are nearer to it, by the factor alpha, than to the node itself. A node's adjacency list is the union of its
    lists of all its shards.
@@ -12,7 +13,8 @@
    shards counts it twice, and no list of pairs is ever built: a visit yields a count, one tie for grouping and the shards
    to visit next.
 4. Every link is verified by its cosine in doubles. Recall is audited against brute force for a bounded sample of nodes;
-   if it is under `RECALL`, the search is run again with twice the overlap.
+   if it is under `RECALL`, the search is run again with twice the overlap, up to four times the first. If that isn't
+   enough either, every node is compared with every shard's nodes in blocks: the result is whole, at the cost of all pairs.
 
 A shard's graph travels as one packed row; hot shards are copied for every `VISITS` visitors, which are dealt over the
 copies.
@@ -30,20 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import connected_components, materialize, mix, runs, settled, tidied
+from quern.llm.common import bounded, connected_components, materialize, mix, runs, settled, share, tidied
 from quern.llm.topk import usable
 
 COSINE = 0.95
 #: Nodes that a shard is meant to hold, centres at most, rows that the centres are drawn from at most.
 SHARD, CENTRES, SAMPLE = 1000, 1024, 20_000
-#: Times its meant size at which a shard is split again; rows of a split shard's sample, about; rounds of splitting.
-LARGE, SPLIT_SAMPLE, SPLITS = 6, 2000, 6
+#: Times its meant size at which a shard is split again; rows of a split shard's sample, about.
+LARGE, SPLIT_SAMPLE = 6, 2000
 OVERLAP = 3
 DEGREE, ALPHA, BEAM = 24, 1.2, 16
-VISITS = 4000
+#: Visitors that one task takes to a copy of a shard's graph.
+VISITS = 1000
 #: Numbers of split shards begin here; those of first centres are smaller.
 SPLIT_IDS = 2**40
 AUDITED, RECALL = 200, 0.95
@@ -61,21 +64,20 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
     if n < 2:
         return out
     y = x.astype(np.float32)
-    gap = 2 - 2 * (y @ y.T)  # squared distances
-    np.maximum(gap, 0, out=gap)
-    step = max(1, (8 << 20) // n)
+    gaps = lambda rows: np.maximum(2 - 2 * (y[rows] @ y.T), 0)  # noqa: E731  squared distances
+    step = max(1, (2 << 20) // n)  # so many rows at once, whatever the size
     for a in range(0, n, step):
         rows = np.arange(a, min(n, a + step))
-        left = gap[rows].copy()
+        mine = gaps(rows)
+        left = mine.copy()
         left[np.arange(len(rows)), rows] = np.inf
-        mine = gap[rows]
         for d in range(degree):
             near = left.argmin(axis=1)
             open_ = np.isfinite(left[np.arange(len(rows)), near])
             if not open_.any():
                 break
             out[rows[open_], d] = near[open_]
-            left[(alpha * alpha) * gap[near] <= mine] = np.inf
+            left[(alpha * alpha) * gaps(near) <= mine] = np.inf
             left[np.arange(len(rows)), near] = np.inf
     return out
 
@@ -181,12 +183,15 @@ def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _split(members: DataFrame) -> DataFrame:
     """members with shards of more than LARGE times the meant size split, round by round; the home stays first."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for _ in range(SPLITS):
+    largest = None
+    while True:
         spread = members.select("node", "x", F.posexplode("shards").alias("rank", "shard"))
         large = spread.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGE * SHARD)
-        large = materialize(large.select("shard", F.ceil(2 * F.col("n") / SHARD).cast("int").alias("parts"), F.ceil(F.col("n") / SPLIT_SAMPLE).alias("of"), F.ceil(F.col("n") / VISITS).cast("int").alias("copies")))
-        if large.isEmpty():
-            break
+        large = materialize(large.select("shard", "n", F.ceil(2 * F.col("n") / SHARD).cast("int").alias("parts"), F.ceil(F.col("n") / SPLIT_SAMPLE).alias("of"), F.ceil(F.col("n") / VISITS).cast("int").alias("copies")))
+        most = large.agg(F.max("n")).collect()[0][0]
+        if most is None or largest is not None and most >= largest:
+            return members
+        largest = most
         inside = spread.join(large, "shard")
         some = inside.where(F.pmod(F.xxhash64(F.lit(9), "node"), "of") == 0).select("shard", "parts", "x", "node")
         centres = materialize(some.repartition(parts, "shard").sortWithinPartitions("shard", "node").select("shard", "parts", "x").mapInArrow(_split_centres, "shard long, centres binary"))
@@ -197,7 +202,15 @@ def _split(members: DataFrame) -> DataFrame:
         stay = spread.join(centres.select("shard"), "shard", "left_anti").select("node", (F.col("rank") * 2).cast("long").alias("rank"), "shard")
         lists = moved.unionByName(stay).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "shard"))).alias("l")).select("node", F.array_distinct(F.col("l.shard")).alias("shards"))
         members = materialize(members.drop("shards").join(lists, "node"))
-    return members
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The vectors of a column by their length: length, places, matrix."""
+    offsets, flat = np.asarray(column.offsets), np.asarray(column.values)
+    lengths = np.diff(offsets)
+    for length in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == length)
+        yield length, rows, flat[offsets[rows][:, None] + np.arange(length)]
 
 
 def _assigner(shared, overlap: int):
@@ -206,14 +219,17 @@ def _assigner(shared, overlap: int):
         first = np.cumsum([0, *(len(c) for c in centres.values())])
         base = dict(zip(centres, first.tolist(), strict=False))
         for batch in batches:
-            shards = []
-            for v in batch.column("x"):
-                v = np.asarray(v.values)
-                if len(v) not in centres:
-                    shards.append([int(first[-1]) + len(v)])  # a length that the sample lacks: one shard for it
-                    continue
-                near = centres[len(v)] @ v
-                shards.append((base[len(v)] + np.argsort(-near, kind="stable")[:overlap]).tolist())
+            shards: list[list[int]] = [[]] * batch.num_rows
+            for length, rows, x in _by_length(batch.column("x")):
+                if length not in centres:  # a length that the sample lacks: one shard for it
+                    near = np.full((len(rows), 1), int(first[-1]) + length)
+                else:
+                    score = x @ centres[length].T
+                    k = min(overlap, score.shape[1])
+                    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, axis=1), axis=1, kind="stable"), axis=1) + base[length]
+                for i, s in zip(rows.tolist(), near.tolist(), strict=True):
+                    shards[i] = s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "weight", "x")), pa.array(shards, pa.list_(pa.int64()))], ["node", "weight", "x", "shards"])
 
     return assign
@@ -236,7 +252,15 @@ def _builder(degree: int, alpha: float):
     return build
 
 
-def _searcher(cosine: float):
+def _compare_all(x: np.ndarray, queries: np.ndarray, cosine: float) -> Iterator[np.ndarray]:
+    """For each query the places whose cosine is in range, by comparing all."""
+    step = max(1, (2 << 20) // len(x))
+    for a in range(0, len(queries), step):
+        for row in queries[a : a + step] @ x.T >= cosine - 1e-5:
+            yield np.flatnonzero(row)
+
+
+def _searcher(cosine: float, brute: bool):
     """Rows: shard, copy, and either a graph or a visitor (node, x). Yields for each visitor: node, shard, links (rows of
     other vectors linked at home here), next (shards of its linked nodes). Further rows, of shard -1, tie each node that
     the links found here join to the least one of its group."""
@@ -249,14 +273,17 @@ def _searcher(cosine: float):
                 continue
             g = np.load(io.BytesIO(graphs[0]))
             x, shard = g["x"], group.column("shard")[0].as_py()
-            lists = union_reverse(g["edges"])
+            visitors = visitors.filter(pc.equal(pc.list_value_length(visitors.column("x")), x.shape[1]))
+            if not visitors.num_rows:
+                continue
             ids, weight, home, shards = g["node"], g["weight"], g["home"], g["shards"]
             node, q = np.asarray(visitors.column("node")), _stack(visitors.column("x").combine_chunks())
             links, onward = np.zeros(len(node), np.int64), []
             everyone, place = np.unique(np.concatenate((ids, node)), return_inverse=True)
             inside, outside = place[: len(ids)], place[len(ids) :]
             root = np.arange(len(everyone))  # the least member of the group so far
-            for i, found in enumerate(search_all(x, lists, int(g["middle"]), q, cosine)):
+            seen = _compare_all(x, q, cosine) if brute else search_all(x, union_reverse(g["edges"]), int(g["middle"]), q, cosine)
+            for i, found in enumerate(seen):
                 if len(found):
                     found = found[(x[found] * q[i]).sum(axis=1) >= cosine]  # verified in doubles
                 found = found[ids[found] != node[i]]
@@ -280,13 +307,18 @@ def _visits(node: np.ndarray, shard: int, links: np.ndarray, tie: np.ndarray, on
     return pa.RecordBatch.from_arrays(columns, ["node", "shard", "links", "tie", "next"])
 
 
-def _search(members: DataFrame, cosine: float) -> DataFrame:
-    """All visits (node, shard, links, tie) of the nodes (node, weight, x, shards)."""
+def _search(members: DataFrame, cosine: float, brute: bool = False) -> DataFrame:
+    """All visits (node, shard, links, tie) of the nodes (node, weight, x, shards). With brute each node is compared with
+    all nodes: those of every shard, in blocks of VISITS visitors to a shard."""
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = members.withColumn("shard", F.explode("shards"))
     graphs = materialize(spread.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(tidied(_builder(DEGREE, ALPHA)), "shard long, graph binary"))
     wanted = spread.select("node", "shard")
+    if brute:
+        numbered = materialize(graphs.select("shard", (F.row_number().over(Window.orderBy("shard")) - 1).alias("at")))  # a row a shard
+        last = numbered.count() - 1
+        wanted = members.select("node", F.explode(F.sequence(F.lit(0), F.lit(max(0, last)))).alias("at")).join(bounded(numbered), "at").select("node", "shard")
     vectors = members.select("node", "x")
     visits: DataFrame | None = None
     while True:
@@ -294,7 +326,7 @@ def _search(members: DataFrame, cosine: float) -> DataFrame:
         copies = graphs.join(crowd, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<double>").alias("x"), "graph")
         guests = wanted.join(crowd, "shard").join(vectors, "node").select("shard", F.pmod(F.xxhash64("node"), "copies").cast("int").alias("copy"), "node", "x", F.lit(None).cast("binary").alias("graph"))
         rows = copies.unionByName(guests).repartition(parts, "shard", "copy").sortWithinPartitions("shard", "copy")
-        found = materialize(rows.mapInArrow(tidied(_searcher(cosine)), "node long, shard long, links long, tie long, next array<long>"))
+        found = materialize(rows.mapInArrow(tidied(_searcher(cosine, brute)), "node long, shard long, links long, tie long, next array<long>"))
         visits = found if visits is None else visits.unionByName(found)
         more = found.select("node", F.explode("next").alias("shard")).distinct().join(visits.select("node", "shard"), ["node", "shard"], "left_anti")
         wanted = materialize(more)
@@ -309,20 +341,17 @@ def audit(nodes: DataFrame, counted: DataFrame, cosine: float, most: int = AUDIT
     rows = some[0].unionByName(some[1]).join(nodes, "node").select("node", "x", "links").collect()
     if not rows:
         return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], np.array(r["x"])) for r in rows])
+    shared = share(nodes.sparkSession, [(r["node"], np.array(r["x"])) for r in rows])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, weight = np.asarray(batch.column("node")), np.asarray(batch.column("weight"))
-            xs = [np.asarray(v.values) for v in batch.column("x")]
-            for length in {len(v) for v in xs}:
-                mine = np.array([i for i, v in enumerate(xs) if len(v) == length])
-                x = np.stack([xs[i] for i in mine])
-                for i, v in shared.value:
-                    if len(v) == length:
-                        near = (x @ v >= cosine) & (node[mine] != i)
-                        if near.any():
-                            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([int(weight[mine][near].sum())])], ["node", "links"])
+            for length, mine, x in _by_length(batch.column("x")):
+                asked = [(i, v) for i, v in shared.value if len(v) == length]
+                if asked:
+                    ids = np.array([i for i, _ in asked])
+                    near = (x @ np.stack([v for _, v in asked]).T >= cosine) & (node[mine][:, None] != ids[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(weight[mine] @ near.astype(np.int64))], ["node", "links"])
 
     true = {r[0]: r[1] for r in nodes.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links")).collect()}
     total = sum(true.values())
@@ -331,7 +360,7 @@ def audit(nodes: DataFrame, counted: DataFrame, cosine: float, most: int = AUDIT
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall for every row of vectors (vec_id, embedding)."""
-    return settled(lambda: _near_duplicates(vectors, cosine, overlap))
+    return settled(lambda: _near_duplicates(vectors, cosine, overlap), vectors.sparkSession)
 
 
 def _near_duplicates(vectors: DataFrame, cosine: float, overlap: int) -> DataFrame:
@@ -343,18 +372,19 @@ def _near_duplicates(vectors: DataFrame, cosine: float, overlap: int) -> DataFra
     rows = rows.withColumn("x", F.when(F.col("vec_id").isNotNull() & F.col("v").isNotNull(), F.transform("v", lambda v: v / norm))).select("vec_id", "x")
     rows = materialize(rows)
     nodes = materialize(rows.where("x is not null").groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
-    n = nodes.count()
+    n, brute = nodes.count(), False
     while True:
         shards = min(CENTRES, -(-n * overlap // SHARD)) if n > 2 * SHARD else 1
-        shared = vectors.sparkSession.sparkContext.broadcast(_centres(nodes, shards))
+        shared = share(vectors.sparkSession, _centres(nodes, shards))
         members = materialize(nodes.mapInArrow(tidied(_assigner(shared, overlap)), "node long, weight long, x array<double>, shards array<long>"))
         members = _split(members)
-        visits = _search(members, cosine)
+        visits = _search(members, cosine, brute)
         counted = materialize(visits.groupBy("node").agg(F.sum("links").alias("links")))
         recall = audit(nodes, counted, cosine)
-        if recall >= RECALL or overlap >= 4 * OVERLAP or shards <= overlap:
+        if recall >= RECALL or brute:
             break
-        overlap *= 2
+        brute = overlap >= 4 * OVERLAP or shards <= overlap
+        overlap = 1 if brute else overlap * 2
     groups = connected_components(visits.where("tie < node").select(F.col("tie").alias("a"), F.col("node").alias("b")))
     per_node = counted.join(groups, "node", "left").join(nodes, "node").select("x", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     out = rows.join(per_node, "x", "left")

@@ -1,34 +1,40 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The components of a vector are dealt to `LISTS` lists; a vector's score for a query is the sum of its partial scores.
+The components of a vector are dealt to `LISTS` lists; a vector's score for a query is the sum of its partial scores. A list
+knows its own components only: queries and candidates are dealt over a grid of query blocks, candidate chunks and lists,
+in one job a phase, and a cell of the grid computes the partial scores of one list.
 
-1. Each part of the data gathers, for each query and list, its `k` best partial scores, and sends the `k` best of the
-   totals of these entries. The k-th best total so far is a score that k vectors reach: the safe cutoff.
-2. The cutoffs are broadcast. A vector that reaches a cutoff has a partial score of at least cutoff / LISTS in some list,
-   so every part collects the entries that do; an entry whose known scores and the bound on unknown ones stay below the
-   cutoff is dropped.
-3. Of the entries left, the unknown partial scores are looked up and summed exactly.
+1. Each cell gathers the `k` best partial scores of its list for each query; of all cells' the `k` best of each list are
+   kept and their scores completed. The k-th best of these is a score that k vectors reach: the safe cutoff.
+2. The cutoffs go out with the query blocks. A vector that reaches a cutoff has a partial score of at least cutoff /
+   LISTS in some list, so every cell collects the entries that do. Where all of a vector's partial scores came in, their sum
+   is its score; such scores raise the cutoff. An entry whose known scores and the bound on unknown ones (less than
+   cutoff / LISTS each, or they had come in) stay below the raised cutoff is dropped.
+3. Of the entries left, the partial scores that are still unknown are looked up, and only these are computed.
 
-Queries are taken in blocks of bounded size (`QUERIES` rows or so), so what is broadcast doesn't grow with the data.
+Query blocks hold about `QUERIES` rows and chunks about `CHUNK`, whatever the size of the tables.
 
 Defined results: a vector takes no part if its id or itself is null or it holds a null or non-finite component. Shorter
 vectors count as if padded by zeros, an empty one scores 0. Rows that repeat a vec_id count once, by the greatest score
-(as a query, by the least vector). Scores beyond 64 bits are held at their limits.
+(as a query, by the least vector). Scores beyond 64 bits are held at their limits; where they might get there, bounds
+don't hold and the entry is looked up as a whole.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import tidied
+from quern.llm.common import arrow_column, bounded, materialize, runs, settled, tidied
 
 LISTS = 2
-QUERIES = 4096
+QUERIES, CHUNK = 4096, 8192
 #: Scores that a task holds at once.
 HELD = 4 << 20
 _LONG = 2**63
@@ -68,130 +74,157 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.clip(exact, -_LONG, _LONG - 1).astype(np.int64)
 
 
-def _large(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether sums of products might leave 64 bits."""
-    peak = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (x, y)]
-    return peak[0] * peak[1] * max(x.shape[1], 1) >= 2**62
+def _large(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x whether its products with rows of y, of LISTS such lists, might leave 64 bits."""
+    peak = np.maximum(x.max(axis=1, initial=0).astype(np.float64), -x.min(axis=1, initial=0).astype(np.float64))
+    other = max(abs(int(y.max(initial=0))), abs(int(y.min(initial=0))))
+    return peak * float(other) * (LISTS * max(x.shape[1], y.shape[1], 1)) >= 2.0**62
 
 
-def _parts(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray | None]]:
-    """For blocks of rows: vec_ids, partial scores (rows x queries) of each list, whether the row is another vector, and,
-    where partial scores might leave 64 bits, the totals held at the limits."""
-    step = max(1, HELD // max(1, len(ids)))
-    for batch in batches:
-        for i in range(0, batch.num_rows, step):
-            part = batch.slice(i, step)
-            vec, x = np.asarray(part.column("vec_id")), _matrix(part.column("v"), None)
-            yield vec, [products(x[:, k::LISTS], q[:, k::LISTS]) for k in range(LISTS)], vec[:, None] != ids[None, :], products(x, q) if _large(x, q) else None
+def _packed_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, queries: the queries (vec_id, v, cutoff or null) of each block, packed."""
+    for group in runs(batches, ["block"]):
+        data, cutoff = io.BytesIO(), group.column("cutoff").combine_chunks()
+        np.savez(data, ids=np.asarray(group.column("vec_id")), q=_matrix(group.column("v").combine_chunks()), cutoff=np.asarray(cutoff.fill_null(0)), known=~np.asarray(cutoff.is_null()))
+        yield pa.RecordBatch.from_arrays([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([data.getvalue()], pa.binary())], ["block", "queries"])
 
 
-def _rows(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For blocks of a cell's candidates: list, row, vec_id, partial scores (candidates x queries), whether the candidate is
+    another vector and whether partial scores are safe from overflow, and the cell's queries (ids, cutoff, known)."""
+    for group in runs(batches, ["block", "chunk", "list"]):
+        data = [x for x in group.column("queries").to_pylist() if x is not None]
+        rows = group.filter(pc.is_valid(group.column("row")))
+        if not data or not rows.num_rows:
+            continue
+        asked, which = np.load(io.BytesIO(data[0])), group.column("list")[0].as_py()
+        ids, q = asked["ids"], asked["q"][:, which::LISTS]
+        step = max(1, HELD // max(1, len(ids)))
+        for i in range(0, rows.num_rows, step):
+            part = rows.slice(i, step)
+            vec, x = np.asarray(part.column("vec_id")), _matrix(part.column("part").combine_chunks())
+            yield which, np.asarray(part.column("row")), vec, products(x, q), vec[:, None] != ids[None, :], ~_large(x, q), (ids, asked["cutoff"], asked["known"])
 
 
-def _gather(shared, k: int):
-    def phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        held: tuple[np.ndarray, ...] = tuple(np.empty(0, np.int64) for _ in range(3))
-        for vec, partial, other, held_total in _parts(batches, ids, q):
-            total = sum(partial[1:], partial[0]) if held_total is None else held_total
-            chosen = np.zeros(total.shape, bool)
-            for p in partial:
-                p = np.where(other, p, -_LONG)
-                top = np.argpartition(-p, min(k, len(vec)) - 1, axis=0)[:k] if len(vec) > k else np.arange(len(vec))[:, None].repeat(len(ids), 1)
-                chosen[top, np.arange(len(ids))[None, :]] = True
-            row, query = np.nonzero(chosen & other)
-            found = (query, vec[row], total[row, query])
-            held = _best(tuple(np.concatenate(x) for x in zip(held, found, strict=True)), k)
-        if len(held[0]):
-            yield _rows(["query_id", "vec_id", "score"], [ids[held[0]], held[1], held[2]])
+_ENTRY = "query_id long, row long, vec_id long, list int, score long"
 
-    return phase
 
+def _entries(query: np.ndarray, row: np.ndarray, vec: np.ndarray, which: int, score: np.ndarray | None) -> pa.RecordBatch:
+    scores = pa.nulls(len(row), pa.int64()) if score is None else pa.array(score, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(row, pa.int64()), pa.array(vec, pa.int64()), pa.array(np.full(len(row), which, np.int32)), scores], ["query_id", "row", "vec_id", "list", "score"])
 
-def _best(held: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
-    """The k best distinct vectors of each query."""
-    query, vec, score = held
-    order = np.lexsort((score, vec, query))
-    last = np.append((query[order][1:] != query[order][:-1]) | (vec[order][1:] != vec[order][:-1]), True) if len(order) else np.empty(0, bool)
-    order = order[last]
-    order = order[np.lexsort((vec[order], ~score[order], query[order]))]  # ~x falls as x grows and can't overflow
-    first = np.searchsorted(query[order], query[order], "left")
-    order = order[np.arange(len(order)) - first < k]
-    return query[order], vec[order], score[order]
 
+def _gather(k: int):
+    def phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for which, row, vec, partial, other, safe, (ids, _, _) in _cells(batches):
+            use = other & safe[:, None]
+            if len(row) > k:
+                top = np.argpartition(np.where(use, -partial, _LONG - 1), k - 1, axis=0)[:k]
+            else:
+                top = np.arange(len(row))[:, None].repeat(len(ids), 1)
+            query = np.arange(len(ids))[None, :].repeat(len(top), 0)
+            keep = use[top, query]
+            top, query = top[keep], query[keep]
+            yield _entries(ids[query], row[top], vec[top], which, partial[top, query])
 
-def _entries(columns: list[np.ndarray], whole: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(whole, pa.bool_())], ["query_id", "vec_id", *(f"p{k}" for k in range(LISTS)), "whole"])
+    return phase
 
 
-def _collect(shared):
-    def phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, cutoff, known = shared.value
+def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for which, row, vec, partial, other, safe, (ids, cutoff, known) in _cells(batches):
         uniform = -((-cutoff) // LISTS)  # the least whole number that is enough for the mean
-        for vec, partial, other, held_total in _parts(batches, ids, q):
-            if held_total is not None:  # bounds don't hold beyond 64 bits: all are looked up
-                row, query = np.nonzero(other)
-                zero = np.zeros(len(row), np.int64)
-                yield _entries([ids[query], vec[row], *[zero] * LISTS], zero > 0)
-                continue
-            over = [p >= uniform[None, :] for p in partial]
-            seen = sum(o.astype(np.int8) for o in over)
-            bound = sum(np.where(o, p.astype(np.float64), (uniform - 1).astype(np.float64)[None, :]) for o, p in zip(over, partial, strict=True))
-            # doubles may be off by a little above 2**53, so a bound near the cutoff stays in
-            enough = bound >= cutoff[None, :] - np.abs(cutoff)[None, :] * 2.0**-50
-            row, query = np.nonzero(other & ((seen > 0) & enough | ~known[None, :]))
-            columns = [ids[query], vec[row]]
-            for o, p in zip(over, partial, strict=True):
-                columns.append(np.where(o[row, query], p[row, query], 0))
-            yield _entries(columns, seen[row, query] == LISTS)
+        at, query = np.nonzero(other & safe[:, None] & ((partial >= uniform[None, :]) | ~known[None, :]))
+        yield _entries(ids[query], row[at], vec[at], which, partial[at, query])
+        at, query = np.nonzero(other & ~safe[:, None])
+        if len(at):
+            yield _entries(ids[query], row[at], vec[at], which, None)
 
-    return phase
 
-
-def _dot(x: pa.Array, y: pa.Array) -> pa.Array:
-    out = np.empty(len(x), np.int64)
-    for i, (a, b) in enumerate(zip(x, y, strict=True)):
-        a, b = np.asarray(a.values), np.asarray(b.values)
-        out[i] = products(a[None, :], b[None, :])[0, 0]
+def _row_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows of x and y at the same place, held at 64 bits."""
+    top = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (x, y)]
+    bound = top[0] * top[1] * max(x.shape[1], 1)
+    if bound < 2**53:
+        return np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64)).astype(np.int64)
+    if bound < 2**62:
+        return np.einsum("ij,ij->i", x, y)
+    return np.array([max(-_LONG, min(_LONG - 1, sum(a * b for a, b in zip(r, s, strict=True)))) for r, s in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+
+
+def _look_up(v: pa.Array, q: pa.Array, unknown: pa.Array, known: pa.Array) -> pa.Array:
+    """known and the partial scores of the unknown list (of all lists, if that is -1)."""
+    x, y = _matrix(v), _matrix(q)
+    wide = min(x.shape[1], y.shape[1])
+    x, y, which = x[:, :wide], y[:, :wide], np.asarray(unknown)
+    out = np.array(known, np.int64)
+    for w in np.unique(which).tolist():
+        rows = np.flatnonzero(which == w)
+        parts = slice(None) if w < 0 else slice(w, None, LISTS)
+        out[rows] += _row_products(x[rows][:, parts], y[rows][:, parts])
     return pa.array(out)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates (vec_id, v) of each query (vec_id, v; distinct ids),
     itself left out, ties to the smaller vec_id."""
-    spark = candidates.sparkSession
-    blocks = max(1, -(-queries.count() // QUERIES))
-    out = None
-    for block in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        found = _block(spark, candidates, mine, k)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _block(spark, candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = sorted(queries.select("vec_id", "v").collect())
-    ids = np.array([r[0] for r in rows], np.int64)
-    q = np.zeros((len(rows), max((len(r[1]) for r in rows), default=0)), np.int64)
-    for i, r in enumerate(rows):
-        q[i, : len(r[1])] = r[1]
-    shared = spark.sparkContext.broadcast((ids, q))
-    gathered = candidates.mapInArrow(tidied(_gather(shared, k)), "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = gathered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
-    cutoffs = {r["query_id"]: r["cutoff"] for r in kth.where(F.col("n") == k).collect()}
-    cutoff = np.array([cutoffs.get(i, 0) for i in ids.tolist()], np.int64)
-    known = np.array([i in cutoffs for i in ids.tolist()], bool)
-    bounds = spark.sparkContext.broadcast((ids, q, cutoff, known))
-    partial = [f"p{i}" for i in range(LISTS)]
-    entries = candidates.mapInArrow(tidied(_collect(bounds)), ", ".join(["query_id long", "vec_id long", *(f"{p} long" for p in partial), "whole boolean"]))
-    done = entries.where("whole").select("query_id", "vec_id", sum((F.col(p) for p in partial[1:]), F.col(partial[0])).alias("score"))
-    exact = F.arrow_udf(_dot, "long")
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))  # at most about QUERIES rows
-    rest = entries.where("not whole").select("query_id", "vec_id").join(candidates, "vec_id").join(asked, "query_id").select("query_id", "vec_id", exact("v", "q").alias("score"))
-    scores = done.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return settled(lambda: _top_k(candidates, queries, k), candidates.sparkSession)
+
+
+def _top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = materialize(candidates.withColumn("row", F.monotonically_increasing_id()))
+    queries = materialize(queries)
+    blocks, chunks = (max(1, -(-df.count() // most)) for df, most in ((queries, QUERIES), (candidates, CHUNK)))
+    lists = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda l: F.struct(l.alias("list"), F.filter("v", lambda x, i: i % LISTS == l).alias("part")))  # noqa: E741
+    halves = materialize(candidates.select("row", "vec_id", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"), F.inline(lists)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = ["block", "chunk", "list"]
+
+    def grid(asked: DataFrame) -> DataFrame:
+        """The cells' rows: queries asked (vec_id, v, cutoff) packed by block, and all candidates' lists."""
+        dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+        packed = materialize(dealt.repartition(parts, "block").sortWithinPartitions("block", "vec_id").mapInArrow(tidied(_packed_block), "block int, queries binary"))
+        copies = packed.select("block", "queries", every(chunks).alias("chunk")).select("block", "chunk", every(LISTS).alias("list"), "queries")
+        rows = halves.select(every(blocks).alias("block"), "chunk", "list", "row", "vec_id", "part")
+        return rows.unionByName(copies, allowMissingColumns=True).repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def completed(entries: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of entries (query_id, row, vec_id, unknown, known)."""
+        asked = bounded(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+        found = entries.join(candidates.select("row", "v"), "row").join(asked, "query_id")
+        return found.select("query_id", "vec_id", arrow_column(_look_up, "long", 4)("v", "q", "unknown", "known").alias("score"))
+
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def cutoffs(scores: DataFrame) -> DataFrame:
+        """query_id, cutoff: the k-th best score of each query that has so many."""
+        ranked = scores.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best_first))
+        return ranked.where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).where(F.col("n") == k).select("query_id", "cutoff")
+
+    gathered = grid(queries.withColumn("cutoff", F.lit(None).cast("long"))).mapInArrow(tidied(_gather(k)), _ENTRY)
+    of_list = Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "row")
+    gathered = gathered.withColumn("rank", F.row_number().over(of_list)).where(F.col("rank") <= k).select("query_id", "row", "vec_id").distinct()
+    first = materialize(completed(gathered.withColumn("unknown", F.lit(-1)).withColumn("known", F.lit(0).cast("long"))))
+    safe = materialize(cutoffs(first))
+
+    cut = queries.join(safe.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    partial = [F.max(F.when(F.col("list") == i, F.col("score"))).alias(f"p{i}") for i in range(LISTS)]
+    entries = grid(cut).mapInArrow(tidied(_collect), _ENTRY).groupBy("query_id", "row", "vec_id").agg(*partial, F.max(F.col("score").isNull()).alias("large"))
+    known = [F.col(f"p{i}") for i in range(LISTS)]
+    missing = sum((p.isNull().cast("int") for p in known), F.lit(0))
+    one = F.coalesce(*[F.when(p.isNull(), F.lit(i)) for i, p in enumerate(known)])
+    unknown = F.when(F.col("large") | (missing > 1), -1).when(missing == 1, one).otherwise(LISTS)
+    # of several lists unknown all is looked up again, as of a vector whose scores might leave 64 bits
+    held = F.when(unknown < 0, F.lit(0)).otherwise(sum((F.coalesce(p, F.lit(0)) for p in known), F.lit(0)))
+    reach = sum((F.coalesce(p, F.col("least") - 1) for p in known), F.lit(0))
+    entries = entries.join(bounded(safe), "query_id", "left").withColumn("least", F.expr(f"cutoff div {LISTS} + int(cutoff % {LISTS} > 0)"))
+    entries = materialize(entries.select("query_id", "row", "vec_id", unknown.alias("unknown"), held.cast("long").alias("known"), F.when(~F.col("large"), reach).alias("reach")))
+    done = first.unionByName(entries.where(F.col("unknown") == LISTS).select("query_id", "vec_id", F.col("known").alias("score")))
+    raised = materialize(cutoffs(done))
+    # without a cutoff, or a bound, an entry stays
+    rest = entries.where(F.col("unknown") < LISTS).join(bounded(raised), "query_id", "left").where("cutoff is null or reach is null or reach >= cutoff")
+    scores = done.unionByName(completed(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return scores.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def every_nth(vectors: DataFrame, nth: int = 100, k: int = 10) -> DataFrame:

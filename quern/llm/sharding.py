@@ -36,11 +36,11 @@ FINE = 64
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """row, doc_id, size, text_crc32, and the text's identity (checksum, hash and length)."""
+    """doc_id, size, text_crc32, and twin, the text's identity: hash, checksum, length and whether it is null."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(text, F.col("text").isNull(), F.octet_length(text)).alias("twin"),
+        F.struct(F.xxhash64(text).alias("hash"), F.crc32(text.cast("binary")).cast("long").alias("checksum"), F.octet_length(text).alias("bytes"), F.col("text").isNull().alias("none")).alias("twin"),
     )
 
 
@@ -100,9 +100,10 @@ def _round(placed: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame,
     there = there.withColumn("goals", F.ceil(F.col("members") / least).cast("int")).withColumn("place", F.row_number().over(goals_first))
     open_ = there.where("place <= goals and room > 0").groupBy("twin").agg(F.sort_array(F.collect_list("shard")).alias("open"), F.max("n").alias("goal_n"), F.max("fits").alias("whole"))
     here = there.where("place > goals").join(open_, "twin").where("whole or goal_n >= n or goals > 1")
-    movers = here.select("twin", "shard", "open", (F.col("goal_n") - F.col("n")).alias("gain"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    wanted = placed.withColumn("salt", F.pmod("spread", F.lit(16)).cast("int")).join(movers.withColumn("salt", salts), ["twin", "shard", "salt"])
+    movers = here.select("twin", "members", "shard", "open", (F.col("goal_n") - F.col("n")).alias("gain"))
+    salts = F.ceil(F.col("members") / BUCKET).cast("int")  # as many as a group's size needs
+    movers = movers.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("members")
+    wanted = placed.withColumn("salt", F.pmod("spread", salts).cast("int")).join(movers, ["twin", "shard", "salt"])
     wanted = wanted.withColumn("goal", F.element_at("open", F.pmod(F.shiftright("spread", 20), F.size("open")).cast("int") + 1)).drop("open")
     classes = F.when(F.col("gain") > 0, F.floor(F.log2(F.col("gain").cast("double"))) + 1).otherwise(F.lit(0)).cast("int")
     wanted = materialize(wanted.withColumn("place", (F.lit(64) - classes) * FINE + F.pmod(F.shiftright("spread", 8), F.lit(FINE)).cast("int")).drop("salt", "gain"))
@@ -123,7 +124,7 @@ def _round(placed: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame,
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs (doc_id, text)."""
-    return settled(lambda: _shard(docs, shards))
+    return settled(lambda: _shard(docs, shards), docs.sparkSession)
 
 
 def _shard(docs: DataFrame, shards: int) -> DataFrame:

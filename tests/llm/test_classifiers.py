@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -83,6 +84,72 @@ def test_sample_is_bounded_and_repeatable(labelled):
     assert sum(len(t) for t, _ in quality.sample(docs, labels, "quality", quality.held_out(F.col("_id"), (4, 2)), 50, 2000)) <= 2000
 
 
+def test_a_long_text_does_not_crowd_out_its_label(spark, labelled):
+    docs, labels, truth = labelled
+    from pyspark.sql import functions as F
+
+    # the row of least hash gets a text above all bounds
+    least = labels.where("quality = 0 and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").orderBy(F.xxhash64(F.lit(11), "doc_id")).first()[0]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == least, F.repeat(F.lit("long text "), quality.MAX_BYTES // 9)).otherwise(F.col("text")))
+    rows = quality.sample(long, labels, "quality", quality.held_out(F.col("_id"), (4, 2)), 50, quality.MAX_BYTES)
+    assert [y for _, y in rows].count(0) == 50 == [y for _, y in rows].count(1) and max(len(t) for t, _ in rows) < 10_000
+    for scores, column, mod, left in ((quality.scores, 1, 4, 2), (toxicity.scores, 2, 5, 0)):
+        got = {r["doc_id"]: r for r in scores(long, labels).collect()}
+        held = [t for t in truth if zlib.crc32(str(t[0]).encode()) % mod == left and t[0] != least]
+        assert sum(got[t[0]]["predicted"] == t[column] for t in held) / len(held) > 0.93
+
+
+def test_one_text_of_a_repeated_id_teaches(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a longer text"), (1, "short"), (1, "short"), (2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, quality int")
+    assert sorted(quality.sample(docs, labels, "quality", F.lit(False), 10, 1 << 20), key=repr) == [("short", 1), (None, 0)]
+
+
+def plain_quality(model, text):
+    """The score of a text, step by step."""
+    import zstandard
+
+    data = (text or "").encode()
+    parts = [data[i : i + quality.BLOCK] for i in range(0, len(data), quality.BLOCK)]
+    size = {}
+    for name, words in (("good", model.good), ("bad", model.bad), ("plain", b"")):
+        extra = {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+        size[name] = sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **extra).compress(p)) for p in parts)
+    x = [(size["bad"] - size["good"]) / (size["plain"] + quality.STEADY) if parts else 0.0, math.log(size["plain"] / (len(data) + 16 * len(parts))) if parts else math.log(0.5)]
+    z = sum(w * (a - m) / s for w, a, m, s in zip(model.weights, x, model.means, model.scales, strict=False)) + model.weights[-1]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_those_of_the_model(odd, labelled):
+    docs, labels, _ = labelled
+    both = docs.unionByName(odd.selectExpr("coalesce(doc_id, 7) + 10000 as doc_id", "text", "lang", "source"))
+    rows = both.select("doc_id", "text").collect()
+    quality_model, toxic_model = quality.train(both, labels), toxicity.train(both, labels)
+    got = sorted((r["doc_id"], round(r["score"], 9)) for r in quality.scores(both, labels).collect())
+    assert got == sorted((i, round(plain_quality(quality_model, t), 9)) for i, t in rows)
+    terms = toxic_model.lexicon.terms
+
+    def near(word):  # by edit distances to all terms, without an automaton
+        found = min(((distance(t, word), -w) for t, (w, most) in terms.items() if abs(len(t) - len(word)) <= most and distance(t, word) <= most), default=None)
+        if found and not (found[0] and word in toxic_model.lexicon.harmless):
+            return -found[1], found[0]
+        return next(((toxic_model.lexicon.stems[word[:k]], 0) for k in range(1, len(word) + 1) if word[:k] in toxic_model.lexicon.stems), None)
+
+    class Plain:
+        def hits(self, words):
+            return {w: h for w in words if len(w) < 100 and (h := near(w))}
+
+    by_id = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, labels).collect()}
+    model = toxicity.train(docs, labels)
+    assert model.lexicon.terms == terms
+    for i, t in rows[:150]:
+        if i < 10_000:
+            z = sum(w * x for w, x in zip(model.weights, toxicity.features(t, Plain()), strict=False)) + model.weights[-1]
+            assert by_id[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -76,6 +76,16 @@ def test_keep_first_keeps_columns_and_one_of_repeated_rows(odd, nothing):
     assert minhash.keep_first(nothing).collect() == [] and minhash.near_duplicates(nothing).collect() == []
 
 
+def test_one_of_a_group_without_ids_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), "  ".join(words), " ".join(words[:-1]), " ".join(words), "alone here", "", None]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    kept = sorted(r["text"] or "" for r in minhash.keep_first(df).collect())
+    assert len(kept) == 4 and kept[:2] == ["", ""] and kept[2] == "alone here" and kept[3].split()[:59] == words[:59]
+    with pytest.raises(ValueError, match="below"):
+        minhash.near_duplicates(spark.createDataFrame([(LAST - 5, "a b c")], "doc_id long, text string"))
+
+
 def test_super_minhash_equals_the_sequential_algorithm():
     m, rng = 32, np.random.default_rng(3)
     sets = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 2, 5, 40, 400, 3000)]
@@ -132,7 +142,7 @@ def test_hot_minimisers_and_passes(spark, monkeypatch):
     passage = [f"p{i}" for i in range(30)]
     rows = [(i, " ".join([f"a{rng.randrange(99)}" for _ in range(rng.randrange(9))] + passage + [f"b{rng.randrange(99)}" for _ in range(rng.randrange(9))])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for bucket, held in ((5, 200_000), (50_000, 20)):
+    for bucket, held in ((5, 200_000), (0, 200_000), (50_000, 20)):
         monkeypatch.setattr(substring, "BUCKET", bucket)
         monkeypatch.setattr(substring, "SORTED", held)
         got = [tuple(r) for r in substring.digests(df, 20, 6).collect()]

@@ -80,6 +80,16 @@ def test_many_nodes_in_small_shards_keep_recall(spark, monkeypatch, centres):
     assert all(got[k] <= true[k] for k in true) and sum(got.values()) >= 0.97 * sum(true.values()) > 0
 
 
+def test_all_are_compared_where_the_search_misses(spark, monkeypatch):
+    rows = odd_vectors(random.Random(7), 30)
+    monkeypatch.setattr(graph, "SHARD", 20)
+    monkeypatch.setattr(graph, "VISITS", 15)
+    real, calls = graph.audit, []
+    monkeypatch.setattr(graph, "audit", lambda *a, **k: calls.append(1) or (real(*a, **k) if len(calls) > 3 else 0.5))
+    got = {(r.vec_id, r.n_links, r.component_id) for r in graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(calls) == 4 and got == set(brute_links(rows))
+
+
 def test_greedy_search_on_a_pruned_graph_finds_the_range():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 12))
@@ -114,7 +124,8 @@ def test_top_k_as_by_brute_force(spark, monkeypatch, k, nth, queries):
     rows += [(900 + i, [float(-1)] * 8) for i in range(3)] + [(1000, [0.5] * 8), (1001, [0.5] * 8)]
     monkeypatch.setattr(topk, "QUERIES", queries)
     monkeypatch.setattr(topk, "HELD", 2000)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    monkeypatch.setattr(topk, "CHUNK", 30)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).selectExpr("*", "1 as row", "2 as block", "3 as list", "4 as score", "5 as v")
     assert sorted(tuple(r) for r in topk.every_nth(df, nth, k).collect()) == brute_topk(rows, k, nth)
 
 

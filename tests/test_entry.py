@@ -43,3 +43,16 @@ assert "revenue_by_region" in e.queries() and not any(k.startswith("op") for k i
 assert set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=REPO, env=os.environ | {"PYTHONPATH": str(REPO)}, check=True, timeout=120)
+
+
+def test_imports_with_an_empty_subpackage_folder(tmp_path):
+    """What is left of a folder once its sources are deleted."""
+    import shutil
+
+    for name in ("__spark_entry__.py", "quern"):
+        source = REPO / name
+        shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
+    for made in (False, True):
+        if made:
+            (tmp_path / "quern/llm/__pycache__").mkdir(parents=True)
+        subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.llm is None and 'revenue_by_region' in e.queries()"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)

@@ -91,14 +91,29 @@ def bound_arrow(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its measured size is within BROADCAST_BYTES. df should be a written table."""
+def fits(df: DataFrame) -> bool:
+    """Whether the measured size of df is within BROADCAST_BYTES. df should be a written table."""
     width = F.lit(32)
     for name, kind in df.dtypes:
         c = F.col("`" + name.replace("`", "``") + "`")
         width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 8 if kind.startswith("array") else F.lit(8))
-    size = df.agg(F.sum(width.cast("long"))).collect()[0][0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return (df.agg(F.sum(width.cast("long"))).collect()[0][0] or 0) <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it fits."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """rows with table, written and of distinct keys: by a broadcast if it fits, else by a shuffle that deals the rows of a
+    key over as many tasks as it has times `most` rows."""
+    if fits(table):
+        return rows.join(F.broadcast(table), key)
+    salts = materialize(rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_salts")).where("_salts > 1"))
+    salted = rows.join(bounded(salts), key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("_salts"))).cast("int")).drop("_salts")
+    copies = table.join(bounded(salts), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def columns(df: DataFrame) -> list[Column]:
@@ -358,7 +373,7 @@ def connected_components(edges: DataFrame, small: int = 50_000) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b longs).
 
     Each round maps a node to the node of least hash among itself and its neighbours, follows that map once more, and
-    contracts the edges by it. The number of nodes falls by a constant factor a round, whatever the shape. Once at most
+    contracts the edges by it; hubs are dealt over tasks. The number of nodes falls by a constant factor a round, whatever the shape. Once at most
     `small` edges are left, one executor task unites them; only counts reach the driver. Null ends are left out.
     """
     current = materialize(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -371,7 +386,7 @@ def connected_components(edges: DataFrame, small: int = 50_000) -> DataFrame:
         step = materialize(step)
         twice = materialize(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
         maps.append(twice)
-        ends = current.join(twice.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(twice.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        ends = dealt_join(dealt_join(current, twice.select(F.col("node").alias("a"), F.col("to").alias("x")), "a"), twice.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         current = materialize(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if left:
         last = current.coalesce(1).mapInArrow(_union_find, "node long, component long")

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quern.llm import common
 from quern.llm.common import columns, connected_components, gram_hashes, narrow, ranked, slide_min, word_hashes
 
 
@@ -54,6 +56,65 @@ def test_components_by_contraction_and_in_one_task(spark):
     assert connected_components(df.limit(0)).collect() == []
 
 
+def test_hubs_are_dealt(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id", "if(id % 3 = 0, 1, id) as k")
+    table = spark.range(300).selectExpr("id as k", "id * 2 as v")
+    expected = sorted((r["k"], r["id"], r["k"] * 2) for r in rows.collect())
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        assert sorted(tuple(r) for r in common.dealt_join(rows, table, "k", 10).collect()) == expected
+
+
+def test_scratch_tables_go_even_if_a_job_fails(spark):
+    made = []
+
+    def make():
+        made.append(common.materialize(spark.range(3)))
+        raise KeyError("no")
+
+    with pytest.raises(KeyError):
+        common.settled(make, spark)
+    where = made[0].inputFiles
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|No such file"):
+        made[0].collect()
+    assert where and common._scope.get() is None and common.settled(lambda: common.materialize(spark.range(3)), spark).count() == 3
+
+
+def test_threads_have_scopes_of_their_own(spark):
+    from threading import Thread
+
+    seen = []
+
+    def job(n):
+        def make():
+            df = common.materialize(spark.range(n))
+            common.settled(lambda: common.materialize(spark.range(1)), spark)
+            return df
+
+        seen.append((n, common.settled(make, spark).count()))
+
+    threads = [Thread(target=job, args=(n,)) for n in (5, 6, 7)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(seen) == [(5, 5), (6, 6), (7, 7)]
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(Session())
+
+
 def test_ranks_are_gapless(spark):
     df = spark.range(500).selectExpr("id", "case when id % 7 = 0 then null else id % 3 end as p")
     got = {}

@@ -7,6 +7,7 @@ import random
 import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from functools import cache
 from itertools import accumulate
 
 import pytest
@@ -200,6 +201,38 @@ def kept_pairs(spark, texts, shards):
     return {t: (sum(pairs(n) for n in c.values()), pairs(sum(c.values()))) for t, c in where.items()}
 
 
+def most_pairs(groups, quota):
+    """The most pairs of equal texts that shards of these sizes can keep, by trying all ways."""
+
+    @cache
+    def best(i, room):
+        if i == len(groups):
+            return 0
+        found = 0
+
+        def split(left, shard, rest, pairs):
+            nonlocal found
+            if shard == len(rest):
+                if not left:
+                    found = max(found, pairs + best(i + 1, tuple(sorted(rest))))
+                return
+            for n in range(min(left, rest[shard]) + 1):
+                split(left - n, shard + 1, (*rest[:shard], rest[shard] - n, *rest[shard + 1 :]), pairs + n * (n - 1) // 2)
+
+        split(groups[i], 0, room, 0)
+        return found
+
+    return best(0, tuple(sorted(quota)))
+
+
+@pytest.mark.parametrize(("groups", "shards"), [((3, 3, 2, 2, 2), 3), ((6, 2, 2, 1, 1), 3), ((5, 4, 3), 2), ((2, 2, 2, 2, 1, 1, 1, 1), 4)])
+def test_kept_pairs_come_near_the_most_there_can_be(spark, groups, shards):
+    texts = [f"group {g}" for g, n in enumerate(groups) for _ in range(n)]
+    kept = sum(a for a, _ in kept_pairs(spark, texts, shards).values())
+    quota = [len(texts) // shards + (s < len(texts) % shards) for s in range(shards)]
+    assert most_pairs(groups, quota) >= kept >= most_pairs(groups, quota) - 2
+
+
 def test_groups_stay_together_when_all_rows_have_copies(spark):
     rng = random.Random(5)
     texts = [f"group {g}" for g in range(900) for _ in range(rng.randint(2, 9))]

@@ -1,7 +1,14 @@
 """The corpus pipeline: quality classifier, near duplicates, repeated passages, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its decisions take effect. All
-but the last return the columns of documents. ORACLE_SQL is None, as SQL can't express the classifier.
+but the last return the columns of documents, and extra ones, whatever their names. ORACLE_SQL is None, as SQL can't
+express the classifier; the tests compare run() with plain loops.
+
+Defined results: empty tables give empty tables. Null and empty texts get the score of no evidence, are duplicates of
+nothing, lose nothing, and take no place in the mix, so they end there. Rows without a doc_id are documents of their own:
+one of a group of near duplicates stays; passages that a row with an id has are cut from them, but none that only they
+share. Of rows that repeat a doc_id and a text one stays; different texts of a doc_id all stay. Ties go to the smaller
+doc_id. Without labels every score is 0.5, so that no document stays.
 """
 
 from __future__ import annotations

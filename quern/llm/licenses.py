@@ -5,15 +5,15 @@ Units of a text are its lines, its paragraphs (between blank lines) and the whol
 Terms weigh tf * idf, with idf = ln((1 + N) / (1 + df)) + 1 counted over all N texts; df is
 counted for the templates' terms, any other term counts as one of a single text. A text whose line or paragraph reaches
 the threshold has that header's licence; a text that reaches it as a whole is a licence file and stands for its folder.
-Wholes that have a term of a template beyond the COMMON ones are also compared with full licence texts (licence_texts),
+Wholes that have a term of a template beyond idle ones (see below) are also compared with full licence texts (licence_texts),
 terms weighing (1 + ln tf) * idf with idf counted over these wholes, so that neither common words nor length decide; one that reaches FULL is that licence's
 file, whatever headers it quotes. A line that reserves all rights counts only where nothing else reaches the threshold.
 A text without a licence of its own takes that of the nearest folder above it that has a licence file.
 
-No match is lost by looking at fewer units: a unit without any of a template's terms but COMMON ones has at most the
-cosine sqrt(c), c being the part that these have in the template's squared length. As long as that is below the threshold
-for all templates, which is checked once idf is known, units without such a term are left out, and texts without one
-aren't written; else the texts are scanned again for all terms.
+No match is lost by looking at fewer units: a unit that holds none of a template's terms but some idle ones has at most
+the cosine sqrt(c), c being the part that these have in the template's squared length. Once idf is known, terms are made idle,
+the most frequent first, as long as c stays below the threshold's square for all templates; units of idle terms alone are
+left out. Texts whose only terms are COMMON ones aren't even written; if these can't all be idle, texts are scanned again.
 
 Only the templates' terms (fixed, a few hundred) are broadcast. Texts are scanned once, and each one's terms found once. The
 texts that may match are dealt by file, so their terms are counted, weighed and summed without another shuffle.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
@@ -59,8 +60,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
-#: Terms of the templates that common prose has, too, in one of the corpora's languages.
-COMMON = frozenset("a all and any are as at be by can for found from have in is it may mit of on or that the this to use with you".split())
+#: Terms of the templates that nearly all prose has, in one of the corpora's languages.
+COMMON = frozenset("a and are as at be by in is it mit of or that the this to with".split())
 TERM = r"[a-z0-9]+(\.[0-9]+)*"
 THRESHOLD = 0.6
 #: The cosine from which a whole text is a copy of a full licence; other versions of a licence stay below, other holders above.
@@ -110,11 +111,21 @@ def _parts(templates: DataFrame, known: DataFrame) -> DataFrame:
     return weighted.groupBy("term", "idf").agg(F.collect_list(F.struct("template", "license", "part")).alias("parts"))
 
 
-def common_part(parts: DataFrame) -> float:
-    """The greatest part that COMMON terms have in a template's squared length."""
-    spread = parts.select("term", F.explode("parts").alias("p"))
-    shares = spread.groupBy("p.template").agg(F.sum(F.when(F.col("term").isin(*COMMON), F.col("p.part") * F.col("p.part")).otherwise(0.0)).alias("share"))
-    return shares.agg(F.max("share")).collect()[0][0] or 0.0
+def idle_terms(parts: DataFrame, threshold: float, first: frozenset[str] = frozenset()) -> frozenset[str]:
+    """Terms that can't make a match by themselves: as many as there can be, first ones first, then by idf."""
+    rows = parts.select("term", "idf", F.explode("parts").alias("p")).select("term", "idf", "p.template", "p.part").collect()  # as many as TEMPLATES have
+    shares: dict[int, float] = defaultdict(float)
+    has: dict[str, list[tuple[int, float]]] = defaultdict(list)
+    for r in rows:
+        has[r["term"]].append((r["template"], r["part"] ** 2))
+    idf = {r["term"]: r["idf"] for r in rows}
+    idle = set()
+    for term in sorted(has, key=lambda t: (t not in first, idf[t], t)):
+        if all(shares[t] + c < threshold * threshold - 1e-9 for t, c in has[term]):
+            idle.add(term)
+            for t, c in has[term]:
+                shares[t] += c
+    return frozenset(idle)
 
 
 def units(held: DataFrame, anchors: list[str]) -> DataFrame:
@@ -185,14 +196,14 @@ def _named(files: DataFrame, words: list[str], anchors: list[str]) -> DataFrame:
 
 def _scan(files: DataFrame, threshold: float) -> DataFrame:
     templates, words = materialize(_templates(files.sparkSession)), vocabulary()
-    anchors = [w for w in words if w not in COMMON]
-    named = _named(files, words, anchors)
+    named = _named(files, words, [w for w in words if w not in COMMON])
     known, other = term_weights(named, templates)
     parts = materialize(_parts(templates, known))
-    if common_part(parts) > threshold * threshold - 1e-9:  # common terms alone might do
-        anchors = words
+    idle = idle_terms(parts, threshold, COMMON)
+    anchors = [w for w in words if w not in idle]
+    if not idle >= COMMON & set(words):  # common terms alone might do
         named = _named(files, words, anchors)
-    held = named.where("text is not null").select("file", "text")
+    held = named.where(F.col("text").isNotNull() & F.arrays_overlap("held", _any_of(anchors))).select("file", "text")
     found = materialize(matches(held, parts, other, anchors, threshold).unionByName(full_matches(held)))
     rank = F.struct(F.col("kind") != "full", F.col("license") == "Proprietary", -F.round("cosine", 9), "license")
     pick = lambda kinds: found.where(F.col("kind").isin(*kinds)).groupBy("file").agg(F.min_by("cosine", rank).alias("cosine"), F.min_by("license", rank).alias("license"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, bounded, columns, materialize, settled
+from quern.llm.common import WORD, bounded, columns, dealt_join, materialize, settled
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -175,21 +175,31 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     pass that takes part of it is cut to these words, joined by one space. Partitions, and rows within one, follow the
     slots. All columns stay; n_chars, if there, follows the text."""
     spark = docs.sparkSession
-    rows = materialize(docs.withColumn("__quern_row", F.monotonically_increasing_id()))
+    same = F.col("doc_id").eqNullSafe(F.col("__quern_id")) & F.col("source").eqNullSafe(F.col("__quern_source")) & (F.xxhash64("text") == F.col("__quern_print"))
+    named = [F.col("doc_id").alias("__quern_id"), F.col("source").alias("__quern_source"), F.col("print").alias("__quern_print")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = materialize(_word_counts(docs, F.xxhash64("text").alias("print")).withColumn("row", F.monotonically_increasing_id()))
+    # rows are found again by id, source and text; those that repeat all three are written with numbers of their own, below 0
+    again = materialize(sized.groupBy("doc_id", "source", "print").agg(F.count("*").alias("n")).where("n > 1").select(*named))
+    copies = None
+    if not again.isEmpty():
+        copies = materialize(docs.join(bounded(again), same, "left_semi").withColumn("__quern_row", F.lit(-1) - F.monotonically_increasing_id()))
+        repeated = sized["doc_id"].eqNullSafe(F.col("__quern_id")) & sized["source"].eqNullSafe(F.col("__quern_source")) & (sized["print"] == F.col("__quern_print"))
+        numbered = _word_counts(copies, F.xxhash64("text").alias("print"), F.col("__quern_row").alias("row"))
+        sized = materialize(sized.join(bounded(again), repeated, "left_anti").unionByName(numbered))
 
     def make() -> DataFrame:
-        sized = materialize(_word_counts(rows, F.col("__quern_row").alias("row")))
         _, passes, slots = _passes(sized, weights, most, block)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         part = F.floor(F.col("slot") * parts / max(1, slots)).cast("int")
-        sizes = sized.select("row", "size")
-        return passes.join(sizes, "row").select(F.col("row").alias("__quern_row"), F.col("slot").alias("__quern_slot"), F.col("words").alias("__quern_words"), (F.col("words") < F.col("size")).alias("__quern_cut"), part.alias("__quern_part"))
+        found = dealt_join(passes, sized.select("row", "doc_id", "source", "print", "size"), "row")
+        return found.select(F.col("row").alias("__quern_row"), *named, F.col("slot").alias("__quern_slot"), F.col("words").alias("__quern_words"), (F.col("words") < F.col("size")).alias("__quern_cut"), part.alias("__quern_part"))
 
     doses = settled(make, spark)
-    placed = rows.join(bounded(doses), "__quern_row")
+    placed = docs.join(bounded(doses.where("__quern_row >= 0")), same)
+    if copies is not None:
+        placed = placed.unionByName(copies.join(doses.where("__quern_row < 0"), "__quern_row").select(*placed.columns))
     some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__quern_words").cast("int")), " ")
     out = placed.withColumn("text", F.when(F.col("__quern_cut"), some).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__quern_cut"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionById(parts, "__quern_part").sortWithinPartitions("__quern_slot", "__quern_row").select(*columns(docs))

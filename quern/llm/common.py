@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A null id sorts after all others.
 LAST = 2**63 - 1
 #: A table whose values, with 32 bytes a row for the hash table, come to so many bytes may be broadcast; beyond it a join shuffles.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 24 << 20
 #: Bytes of the Arrow batches that go to Python workers; Spark's own default is made for larger executors.
 ARROW_BYTES = 8 << 20
 
@@ -96,7 +96,7 @@ def fits(df: DataFrame) -> bool:
     width = F.lit(32)
     for name, kind in df.dtypes:
         c = F.col("`" + name.replace("`", "``") + "`")
-        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 8 if kind.startswith("array") else F.lit(8))
+        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.size(c), F.lit(0)) * 24 if kind.startswith("array") else F.lit(8))
     return (df.agg(F.sum(width.cast("long"))).collect()[0][0] or 0) <= BROADCAST_BYTES
 
 
@@ -105,6 +105,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
+def beside(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs (key, print, text) with table (key, print and others; written): texts stay where they are if the table fits, else
+    those that are in it travel."""
+    if fits(table):
+        return docs.join(F.broadcast(table), ["key", "print"])
+    return narrow(docs, "key", materialize(table.select("key").distinct())).join(table, ["key", "print"])
+
+
 def dealt_join(rows: DataFrame, table: DataFrame, key: str, most: int = 100_000) -> DataFrame:
     """rows with table, written and of distinct keys: by a broadcast if it fits, else by a shuffle that deals the rows of a
     key over as many tasks as it has times `most` rows."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LAST, arrow_column, batches_of_bytes, bounded, columns, connected_components, encoded, gram_hashes, make_room, materialize, mix, narrow, runs, settled, spread, tidied, word_hashes
+from quern.llm.common import LAST, arrow_column, batches_of_bytes, beside, bounded, columns, connected_components, dealt_join, encoded, gram_hashes, make_room, materialize, mix, narrow, runs, settled, spread, tidied, word_hashes
 
 BANDS, ROWS = 24, 4
 #: A pair of less estimated similarity than the threshold by this much isn't verified: five standard deviations at 0.8.
@@ -210,8 +210,7 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """node, shingles of the ids (one column node, distinct), written once."""
     wanted = materialize(narrow(nodes.select("node", "key", "print", "class"), "node", ids))
-    texts = narrow(docs, "key", wanted.select("key").distinct()).join(wanted, ["key", "print"])
-    return materialize(texts.select("node", "text", "class").mapInArrow(tidied(_setter(n)), "node long, shingles binary").distinct())
+    return materialize(beside(docs, wanted).select("node", "text", "class").mapInArrow(tidied(_setter(n)), "node long, shingles binary").distinct())
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -268,18 +267,22 @@ def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows:
     if (signed.where(F.col("key") < LAST).agg(F.max("key")).collect()[0][0] or 0) >= LAST - NAMELESS:
         raise ValueError(f"doc_ids must be below {LAST - NAMELESS}")
     own = F.lit(LAST - 1) - F.pmod(F.xxhash64("class"), F.lit(NAMELESS - 1))
-    firsts = signed.where("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"), F.min("print").alias("least"))
-    firsts = materialize(firsts.select("class", "key", "least", F.when(F.col("key") == LAST, own).otherwise(F.col("key")).alias("node")))
-    nodes = signed.join(firsts.drop("least"), ["class", "key"]).select("node", "key", "print", "class", "bands", "signature", "n_shingles")
-    nodes = materialize(nodes.dropDuplicates(["class"]))
+    of_key = signed.where("n_shingles > 0").groupBy("class", "key").agg(F.count("*").alias("rows"), F.min("print").alias("least"))
+    firsts = of_key.groupBy("class").agg(F.min(F.struct("key", "rows", "least")).alias("first")).select("class", "first.*")
+    firsts = materialize(firsts.withColumn("node", F.when(F.col("key") == LAST, own).otherwise(F.col("key"))))
+    whole = signed.join(bounded(firsts.select("class", "key", "node", "rows")), ["class", "key"])
+    whole = whole.select("node", "key", "print", "class", "bands", "signature", "n_shingles", "rows")
+    # rows that repeat a text and its id are one node
+    nodes = materialize(whole.where("rows = 1").unionByName(whole.where("rows > 1").dropDuplicates(["class"])).drop("rows"))
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "first")
-    members = materialize(dealt.join(shared, "bucket").select("bucket", "node", "first"))
-    signatures = nodes.select("node", "signature", "n_shingles")
+    members = materialize(dealt.join(bounded(materialize(shared)), "bucket").select("bucket", "node", "first"))
+    touched = materialize(members.select("node").distinct())
+    signatures = materialize(narrow(nodes.select("node", "signature", "n_shingles"), "node", touched))
     least = similarity / 100 - SLACK
 
     star = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = star.join(signatures.toDF("a", "sa", "na"), "a").join(signatures.toDF("b", "sb", "nb"), "b")
+    near = dealt_join(dealt_join(star, signatures.toDF("a", "sa", "na"), "a"), signatures.toDF("b", "sb", "nb"), "b")
     near = near.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(arrow_column(_agreement, "double", 2)("sa", "sb") >= least)
     links = _verified(materialize(near.select("a", "b").distinct()), nodes, docs, n, similarity)
     again = materialize(signed.where(F.col("key") < LAST).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
@@ -288,11 +291,11 @@ def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows:
         least_node = texts.groupBy("key").agg(F.min("node").alias("a"))
         links = links.union(texts.join(least_node, "key").where("node > a").select("a", "node")).distinct()
     links = materialize(links)
-    labels = connected_components(links)
+    labels = materialize(connected_components(links))
     more = materialize(_across(members, labels, nodes, docs, n, similarity))
     if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
-    grouped = signed.select("key", "print", "class", "n_shingles").join(firsts.select("class", "node", "least"), "class", "left").join(labels, "node", "left")
+        labels = materialize(connected_components(links.unionByName(more)))
+    grouped = signed.select("key", "print", "class", "n_shingles").join(bounded(firsts.select("class", "node", "least")), "class", "left").join(bounded(labels), "node", "left")
     component = F.coalesce("component", "node", "key")
     named = F.when(component < LAST - NAMELESS, component)
     one = F.col("node").isNull() | (F.col("node") == component) & (F.col("print") == F.col("least"))  # of a group without any id

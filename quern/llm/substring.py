@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LAST, arrow_column, batches_of_bytes, bounded, columns, encoded, gram_hashes, make_room, materialize, narrow, runs, settled, slide_min, spread, tidied, word_hashes
+from quern.llm.common import LAST, arrow_column, batches_of_bytes, beside, bounded, columns, encoded, gram_hashes, make_room, materialize, runs, settled, slide_min, spread, tidied, word_hashes
 
 WIDTH = 50
 #: Words of a minimiser: long enough that common phrases aren't minimisers, short enough for super-k-mers of many windows.
@@ -87,10 +87,9 @@ def _packer(width: int, windows: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of_bytes(batches, "text", 2 << 20):
             out: list[tuple] = []
-            for key, row, text, parts in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "text", "parts")), strict=True):
+            for key, text, parts in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "parts")), strict=True):
                 words = encoded(text).split()
-                if _identity(hashlib.sha256(b" ".join(words)).digest(), key) != row:
-                    continue
+                row = _identity(hashlib.sha256(b" ".join(words)).digest(), key)
                 for part in parts:
                     start, end, minimiser = part["start"], part["end"], part["minimiser"]
                     if windows:
@@ -183,21 +182,20 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) ->
     spark = docs.sparkSession
     docs = _keyed(docs)
     scan = materialize(docs.mapInArrow(tidied(_scanner(width, m)), _SCAN))
-    firsts = scan.groupBy("sha").agg(F.min("key").alias("first"))
-    rows = scan.join(firsts, "sha").select("key", "print", "row", "n_words", "sha", ((F.col("key") > F.col("first")) & (F.col("n_words") >= width)).alias("copy"))
+    firsts = scan.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("rows"))
+    firsts = firsts.where("rows > 1").select("sha", "first")  # others are the first of their words
+    rows = scan.join(bounded(materialize(firsts)), "sha", "left").select("key", "print", "row", "n_words", "sha", F.coalesce((F.col("key") > F.col("first")) & (F.col("n_words") >= width), F.lit(False)).alias("copy"))
     rows = materialize(rows)
-    scanned = scan.where(F.size("starts") > 0).join(rows.where("copy").select("row").distinct(), "row", "left_anti")
-    parts = scanned.select("key", "print", "row", F.expr("inline(arrays_zip(minimisers, starts, ends))"))
-    parts = parts.toDF("key", "print", "row", "minimiser", "start", "end")
+    scanned = scan.where(F.size("starts") > 0).join(bounded(materialize(rows.where("copy").select("row").distinct())), "row", "left_anti")
+    parts = scanned.select("key", "print", F.expr("inline(arrays_zip(minimisers, starts, ends))")).toDF("key", "print", "minimiser", "start", "end")
     shared = parts.groupBy("minimiser").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = materialize(shared.select("minimiser", (F.col("n") > BUCKET).alias("hot")))
-    travels = parts.join(shared, "minimiser").groupBy("key", "print", "row", "hot").agg(F.collect_list(F.struct("start", "end", "minimiser")).alias("parts"))
+    travels = parts.join(bounded(shared), "minimiser").groupBy("key", "print", "hot").agg(F.collect_set(F.struct("start", "end", "minimiser")).alias("parts"))
     travels = materialize(travels)
 
     def packed(hot: bool) -> DataFrame:
-        mine = travels.where(F.col("hot") == hot).drop("hot")
-        texts = narrow(docs, "key", mine.select("key").distinct()).join(mine, ["key", "print"])
-        return texts.select("key", "row", "text", "parts").mapInArrow(tidied(_packer(width, hot)), _PACKED)
+        texts = beside(docs, travels.where(F.col("hot") == hot).drop("hot"))
+        return texts.select("key", "text", "parts").mapInArrow(tidied(_packer(width, hot)), _PACKED)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = packed(False).repartition(n, "minimiser").sortWithinPartitions("minimiser").mapInArrow(tidied(_bucket(width)), _RANGES)
@@ -251,7 +249,7 @@ def digests(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) -> DataFram
 def _digests(docs: DataFrame, width: int, m: int) -> DataFrame:
     rows, ranges = repeated_ranges(docs, width, m)
     spans = _spans(rows, ranges)
-    texts = narrow(_keyed(docs), "key", spans.select("key").distinct()).join(spans, ["key", "print"])
+    texts = beside(_keyed(docs), spans)
     cut = texts.select("key", _cutter(True)("text", "key", "spans").alias("cut")).select("cut.*").distinct()
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return rows.join(cut, "row", "left").select(

@@ -10,14 +10,14 @@ in one job a phase, and a cell of the grid computes the partial scores of one li
    LISTS in some list, so every cell collects the entries that do. Where all of a vector's partial scores came in, their sum
    is its score; such scores raise the cutoff. An entry whose known scores and the bound on unknown ones (less than
    cutoff / LISTS each, or they had come in) stay below the raised cutoff is dropped.
-3. Of the entries left, the partial scores that are still unknown are looked up, and only these are computed.
+3. The entries left go to the cells that know their missing partial scores, and only these are computed.
 
 Query blocks hold about `QUERIES` rows and chunks about `CHUNK`, whatever the size of the tables.
 
 Defined results: a vector takes no part if its id or itself is null or it holds a null or non-finite component. Shorter
 vectors count as if padded by zeros, an empty one scores 0. Rows that repeat a vec_id count once, by the greatest score
 (as a query, by the least vector). Scores beyond 64 bits are held at their limits; where they might get there, bounds
-don't hold and the entry is looked up as a whole.
+don't hold and the entry is looked up as a whole, as are those that phase 1 gathers.
 """
 
 from __future__ import annotations
@@ -151,17 +151,31 @@ def _row_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(-_LONG, min(_LONG - 1, sum(a * b for a, b in zip(r, s, strict=True)))) for r, s in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
 
 
-def _look_up(v: pa.Array, q: pa.Array, unknown: pa.Array, known: pa.Array) -> pa.Array:
-    """known and the partial scores of the unknown list (of all lists, if that is -1)."""
+def _whole(v: pa.Array, q: pa.Array) -> pa.Array:
+    """The scores of vectors and queries at the same place."""
     x, y = _matrix(v), _matrix(q)
     wide = min(x.shape[1], y.shape[1])
-    x, y, which = x[:, :wide], y[:, :wide], np.asarray(unknown)
-    out = np.array(known, np.int64)
-    for w in np.unique(which).tolist():
-        rows = np.flatnonzero(which == w)
-        parts = slice(None) if w < 0 else slice(w, None, LISTS)
-        out[rows] += _row_products(x[rows][:, parts], y[rows][:, parts])
-    return pa.array(out)
+    return pa.array(_row_products(x[:, :wide], y[:, :wide]))
+
+
+def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of entries (query_id, row, vec_id, known) in the cell of the one list that they lack."""
+    for group in runs(batches, ["block", "chunk", "list"]):
+        data = [x for x in group.column("queries").to_pylist() if x is not None]
+        entry = pc.is_valid(group.column("query_id"))
+        entries, rows = group.filter(entry), group.filter(pc.and_(pc.is_valid(group.column("part")), pc.invert(entry)))
+        if not entries.num_rows:
+            continue
+        asked, which = np.load(io.BytesIO(data[0])), group.column("list")[0].as_py()
+        q, x, row = asked["q"][:, which::LISTS], _matrix(rows.column("part").combine_chunks()), np.asarray(rows.column("row"))
+        wide = min(x.shape[1], q.shape[1])
+        order = np.argsort(row, kind="stable")
+        for i in range(0, entries.num_rows, 1 << 16):
+            some = entries.slice(i, 1 << 16)
+            at = order[np.searchsorted(row[order], np.asarray(some.column("row")))]
+            of = np.searchsorted(asked["ids"], np.asarray(some.column("query_id")))
+            score = np.asarray(some.column("known")) + _row_products(x[at, :wide], q[of, :wide])
+            yield pa.RecordBatch.from_arrays([some.column("query_id").combine_chunks(), some.column("vec_id").combine_chunks(), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -176,23 +190,27 @@ def _top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     queries = materialize(queries)
     blocks, chunks = (max(1, -(-df.count() // most)) for df, most in ((queries, QUERIES), (candidates, CHUNK)))
     lists = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda l: F.struct(l.alias("list"), F.filter("v", lambda x, i: i % LISTS == l).alias("part")))  # noqa: E741
-    halves = materialize(candidates.select("row", "vec_id", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"), F.inline(lists)))
+    block, chunk = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("query_id", blocks), ("row", chunks)))
+    halves = materialize(candidates.select("row", "vec_id", chunk.alias("chunk"), F.inline(lists)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     keys = ["block", "chunk", "list"]
 
-    def grid(asked: DataFrame) -> DataFrame:
-        """The cells' rows: queries asked (vec_id, v, cutoff) packed by block, and all candidates' lists."""
-        dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    def grid(asked: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+        """The cells' rows: queries asked (vec_id, v, cutoff) packed by block, all candidates' lists, and entries."""
+        dealt = asked.withColumnRenamed("vec_id", "query_id").withColumn("block", block).withColumnRenamed("query_id", "vec_id")
         packed = materialize(dealt.repartition(parts, "block").sortWithinPartitions("block", "vec_id").mapInArrow(tidied(_packed_block), "block int, queries binary"))
         copies = packed.select("block", "queries", every(chunks).alias("chunk")).select("block", "chunk", every(LISTS).alias("list"), "queries")
         rows = halves.select(every(blocks).alias("block"), "chunk", "list", "row", "vec_id", "part")
-        return rows.unionByName(copies, allowMissingColumns=True).repartition(parts, *keys).sortWithinPartitions(*keys)
+        rows = rows.unionByName(copies, allowMissingColumns=True)
+        if entries is not None:
+            rows = rows.unionByName(entries.withColumn("block", block).withColumn("chunk", chunk), allowMissingColumns=True)
+        return rows.repartition(parts, *keys).sortWithinPartitions(*keys)
 
-    def completed(entries: DataFrame) -> DataFrame:
-        """query_id, vec_id, score of entries (query_id, row, vec_id, unknown, known)."""
+    def looked_up(entries: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of entries (query_id, row, vec_id), as a whole."""
         asked = bounded(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
         found = entries.join(candidates.select("row", "v"), "row").join(asked, "query_id")
-        return found.select("query_id", "vec_id", arrow_column(_look_up, "long", 4)("v", "q", "unknown", "known").alias("score"))
+        return found.select("query_id", "vec_id", arrow_column(_whole, "long", 2)("v", "q").alias("score"))
 
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -204,7 +222,7 @@ def _top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     gathered = grid(queries.withColumn("cutoff", F.lit(None).cast("long"))).mapInArrow(tidied(_gather(k)), _ENTRY)
     of_list = Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "row")
     gathered = gathered.withColumn("rank", F.row_number().over(of_list)).where(F.col("rank") <= k).select("query_id", "row", "vec_id").distinct()
-    first = materialize(completed(gathered.withColumn("unknown", F.lit(-1)).withColumn("known", F.lit(0).cast("long"))))
+    first = materialize(looked_up(gathered))
     safe = materialize(cutoffs(first))
 
     cut = queries.join(safe.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
@@ -223,7 +241,9 @@ def _top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     raised = materialize(cutoffs(done))
     # without a cutoff, or a bound, an entry stays
     rest = entries.where(F.col("unknown") < LISTS).join(bounded(raised), "query_id", "left").where("cutoff is null or reach is null or reach >= cutoff")
-    scores = done.unionByName(completed(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    lacking = rest.where("unknown >= 0").select("query_id", "row", "vec_id", "known", F.col("unknown").alias("list"))
+    found = grid(queries.withColumn("cutoff", F.lit(None).cast("long")), lacking).mapInArrow(tidied(_complete), "query_id long, vec_id long, score long")
+    scores = done.unionByName(found).unionByName(looked_up(rest.where("unknown < 0"))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return scores.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

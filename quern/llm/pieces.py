@@ -95,15 +95,19 @@ class PieceModel:
             worst = min(ranks)
             self.pieces = {p: (i, -(PIECE_COST + math.log(2 - max(s, worst)))) for p, (i, s) in self.pieces.items()}
         self.pieces = {p: (i, round(s * STEPS) / STEPS) for p, (i, s) in self.pieces.items()}
-        self.longest = max(map(len, self.pieces), default=1)
         self.penalty = min((s for _, s in self.pieces.values()), default=0.0) - 10.0
         # the score that an id adds to a segmentation: bytes and the unknown piece come from fallback only
         self.scores = np.full(self.size, self.penalty)
         for i, score in self.pieces.values():
             self.scores[i] = score
         self.units = re.compile(_unit_pattern(self.pieces))
-        # pieces, and False for what only begins a piece
-        self.table: dict = {p[:i]: False for p in self.pieces for i in range(1, len(p))} | self.pieces
+        # a trie: each character leads to the characters behind it and the piece that ends with it, if any
+        self.trie: dict[str, tuple[dict, tuple[int, float] | None]] = {}
+        for piece, entry in self.pieces.items():
+            below = self.trie
+            for c in piece[:-1]:
+                below = below.setdefault(c, ({}, None))[0]
+            below[piece[-1]] = (below[piece[-1]][0] if piece[-1] in below else {}, entry)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -114,7 +118,7 @@ class PieceModel:
 
     def lattice(self, unit: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """The edges that end at each place (start, score, ids), and the best score of reaching it (forward Viterbi)."""
-        table, longest, n = self.table, self.longest, len(unit)
+        n = len(unit)
         ending: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         best = [0.0] + [_NONE] * n
         for start in range(n):
@@ -122,11 +126,11 @@ class PieceModel:
                 ids = self.fallback(unit[start])
                 ending[start + 1].append((start, self.penalty * len(ids), ids))
                 best[start + 1] = max(best[start + 1], best[start] + self.penalty * len(ids))
-            for end in range(start + 1, min(n, start + longest) + 1):
-                found = table.get(unit[start:end])
-                if found is None:
-                    break
-                if found:
+            below, end = self.trie, start
+            while end < n and (hit := below.get(unit[end])) is not None:
+                below, found = hit
+                end += 1
+                if found is not None:
                     ending[end].append((start, found[1], (found[0],)))
                     best[end] = max(best[end], best[start] + found[1])
         return ending, best
@@ -160,23 +164,25 @@ class PieceModel:
     def unit(self, unit: str) -> bytes:
         """The unit's entry: what the second best costs more, negated, as a 32-bit float (so its bits are a negative number),
         then the best ids, as 32-bit integers. Forward Viterbi carries the two best scores of each place."""
-        table, longest, n = self.table, self.longest, len(unit)
+        trie, n = self.trie, len(unit)
         first, second = [_NONE] * (n + 1), [_NONE] * (n + 1)
         back: list = [None] * (n + 1)
         first[0] = 0.0
         for start in range(n):
-            x, y, end = first[start], second[start], start + 1
-            last = min(n, start + longest)
-            found = table.get(unit[start])
-            if not found:
+            x, y = first[start], second[start]
+            below, end = trie, start
+            hit = below.get(unit[start])
+            if hit is None or hit[1] is None:
                 ids = self.fallback(unit[start])
                 s = self.penalty * len(ids)
-                if x + s > first[end]:
-                    first[end], second[end], back[end] = x + s, max(first[end], y + s), (start, ids)
-                elif x + s > second[end]:
-                    second[end] = x + s
-            while found is not None:
-                if found:
+                if x + s > first[start + 1]:
+                    first[start + 1], second[start + 1], back[start + 1] = x + s, max(first[start + 1], y + s), (start, ids)
+                elif x + s > second[start + 1]:
+                    second[start + 1] = x + s
+            while hit is not None:
+                below, found = hit
+                end += 1
+                if found is not None:
                     s = found[1]
                     c = x + s
                     if c > first[end]:
@@ -186,10 +192,9 @@ class PieceModel:
                         back[end] = (start, found)
                     elif c > second[end]:
                         second[end] = c
-                if end >= last:
+                if end == n:
                     break
-                end += 1
-                found = table.get(unit[start:end])
+                hit = below.get(unit[end])
         ids = []
         at = n
         while at:

@@ -47,8 +47,11 @@ _scope: ContextVar[list[str] | None] = ContextVar("quern_scope", default=None)
 _shared: ContextVar[list | None] = ContextVar("quern_shared", default=None)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again."""
+def materialize(df: DataFrame, compact: bool = False) -> DataFrame:
+    """The rows, written to the shared folder and read again; compact: a small part of what many tasks scan, dealt to files
+    of a good size first."""
+    if compact:
+        df = df.hint("rebalance")
     bound_arrow(df.sparkSession)
     path = scratch(df.sparkSession)
     if (scope := _scope.get()) is not None:

@@ -209,7 +209,7 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """node, shingles of the ids (one column node, distinct), written once."""
-    wanted = materialize(narrow(nodes.select("node", "key", "print", "class"), "node", ids))
+    wanted = materialize(narrow(nodes.select("node", "key", "print", "class"), "node", ids), compact=True)
     return materialize(beside(docs, wanted).select("node", "text", "class").mapInArrow(tidied(_setter(n)), "node long, shingles binary").distinct())
 
 
@@ -276,9 +276,9 @@ def _grouped(docs: DataFrame, n: int, similarity: int, bands: int = BANDS, rows:
     nodes = materialize(whole.where("rows = 1").unionByName(whole.where("rows > 1").dropDuplicates(["class"])).drop("rows"))
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "first")
-    members = materialize(dealt.join(bounded(materialize(shared)), "bucket").select("bucket", "node", "first"))
+    members = materialize(dealt.join(bounded(materialize(shared)), "bucket").select("bucket", "node", "first"), compact=True)
     touched = materialize(members.select("node").distinct())
-    signatures = materialize(narrow(nodes.select("node", "signature", "n_shingles"), "node", touched))
+    signatures = materialize(narrow(nodes.select("node", "signature", "n_shingles"), "node", touched), compact=True)
     least = similarity / 100 - SLACK
 
     star = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()

@@ -174,14 +174,15 @@ class Automaton:
         return out
 
 
-NAMES = ("any", "strongest", "exact", "misspelled", "quoted", "abusive", "dense")
+NAMES = ("any", "strongest", "exact", "misspelled", "quoted", "abusive", "dense", "hits", "share")
 
 
 def features(text: str | None, automaton: Automaton) -> list[float]:
     """Of a document's hits: whether there are any, the largest weight, weights of exact and of misspelled ones, hits in
-    quotation, hits in abuse, hits a window at most."""
+    quotation, hits in abuse, hits a window at most, how many there are, and how many of a hundred words."""
     lower = (text or "").lower()
-    hits = automaton.hits(set(_WORDS.findall(lower)))
+    words = _WORDS.findall(lower)
+    hits = automaton.hits(set(words))
     if not hits:
         return [0.0] * len(NAMES)
     tokens = _TOKENS.findall(lower)
@@ -199,13 +200,13 @@ def features(text: str | None, automaton: Automaton) -> list[float]:
         quoted += quotation > abuse
         abusive += abuse > quotation
         dense = max(dense, near)
-    return [1.0, max(w for w, _ in hits.values()), math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), math.log1p(abusive), math.log1p(dense)]
+    return [1.0, max(w for w, _ in hits.values()), math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), math.log1p(abusive), math.log1p(dense), math.log1p(len(at)), math.log1p(100 * len(at) / len(words))]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     lexicon: Lexicon
-    weights: tuple[float, ...] = (1.0, 0.5, 1.0, 0.5, -0.5, 0.5, 0.5, -3.0)
+    weights: tuple[float, ...] = (1.0, 0.5, 1.0, 0.5, -0.5, 0.5, 0.5, 0.0, 0.0, -3.0)
 
 
 def _evidence(a: int, b: int, n1: int, n0: int) -> tuple[float, float]:

@@ -151,6 +151,8 @@ def _setter(n: int):
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
+    if not len(a):
+        return pa.array([], pa.float64())
     x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (a, b))
     return pa.array((x == y).mean(axis=1), pa.float64())
 

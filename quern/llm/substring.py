@@ -166,6 +166,22 @@ def _bucket(width: int):
     return bucket
 
 
+def _merger(width: int):
+    """Ranges of words that the windows (key, row, starts in order) of each document cover."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, row, starts in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "starts")), strict=True):
+                starts = np.array(starts)
+                cuts = np.flatnonzero(np.diff(starts) > width)
+                out += [(key, row, a, b + width) for a, b in zip(starts[np.append(0, cuts + 1)].tolist(), starts[np.append(cuts, len(starts) - 1)].tolist(), strict=True)]
+            if out:
+                yield _ranges(out)
+
+    return merge
+
+
 def _ranges(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "row", "lo", "hi"])
 
@@ -203,8 +219,8 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, m: int = MINIMISER) ->
         return rows, materialize(cold)
     windows = materialize(packed(True))
     again = materialize(windows.groupBy("packed").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("packed", "first"))
-    hot = windows.join(bounded(again), "packed").where("key > first").select("key", "row", F.col("start").alias("lo"), (F.col("start") + width).cast("int").alias("hi"))
-    return rows, materialize(cold.unionByName(hot))
+    hot = windows.join(bounded(again), "packed").where("key > first").groupBy("key", "row").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    return rows, materialize(cold.unionByName(hot.mapInArrow(tidied(_merger(width)), _RANGES)))
 
 
 def _cutter(digest: bool):

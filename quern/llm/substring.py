@@ -35,7 +35,7 @@ WIDTH = 50
 #: Words of a minimiser: long enough that common phrases aren't minimisers, short enough for super-k-mers of many windows.
 MINIMISER = 16
 #: Super-k-mers of one minimiser that one task takes; of more, the windows are aggregated.
-BUCKET = 1000
+BUCKET = 20_000
 #: Windows that a bucket sorts at once; more are sorted in passes, by checksum.
 SORTED = 200_000
 
